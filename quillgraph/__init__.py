@@ -1,3 +1,11 @@
 """quillgraph: document-corpus analytics on PySpark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Python helpers travel to the executors inside the task, so a cluster needs
+# no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app_name: str = "quillgraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,7 +20,9 @@ def get_spark(app_name: str = "quillgraph", master: str | None = None, **conf: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false"
+        )
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -63,3 +66,25 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores)
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns whose value is computed once per row.
+
+    A plain projection is inlined by the optimizer wherever the column is used
+    (also into filters inferred for a later explode).  A one-element generator
+    keeps an expensive expression in one place at no shuffle cost.
+    """
+    made = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select("*", F.explode(F.array(made)).alias("__made")).select(
+        *kept, *[F.col("__made")[name].alias(name) for name in columns]
+    )
+
+
+def explode_rows(df: DataFrame, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """Explode without the size filter the optimizer would push into the scan side."""
+    if position is None:
+        out = df.select("*", F.posexplode_outer(array).alias("__pos", name))
+        return out.filter(F.col("__pos").isNotNull()).drop("__pos")
+    return df.select("*", F.posexplode_outer(array).alias(position, name)).filter(F.col(position).isNotNull())
