@@ -17,14 +17,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def lookup_unique(
-    rows: DataFrame, table: DataFrame, key: str, group_size: str, how: str = "inner", hot: int = HOT_GROUP_ROWS
+    rows: DataFrame, table: DataFrame, key: str, group_size: str, how: str = "inner", hot: int | None = HOT_GROUP_ROWS
 ) -> DataFrame:
     """Join ``rows`` to a table holding one row per ``key``.
 
     ``group_size`` is the table column with the number of rows per key.  Keys
     above ``hot`` never enter the shuffle: there are at most rows/hot of them,
     so that part of the table is broadcast and their rows stay where they are.
+    ``hot=None`` states that no key is hot (see ``hot_limit``).
     """
+    if hot is None:
+        return rows.join(table.drop(group_size), key, how)
     hot_table = table.filter(F.col(group_size) > hot)
     if hot_table.isEmpty():
         return rows.join(table.drop(group_size), key, how)
@@ -33,3 +36,14 @@ def lookup_unique(
     cold_rows = rows.join(hot_table.select(key), key, "left_anti")
     cold_table = table.filter(F.col(group_size) <= hot).drop(group_size)
     return cold_rows.join(cold_table, key, how).unionByName(hot_rows)
+
+
+def hot_limit(df: DataFrame, *keys: str, hot: int = HOT_GROUP_ROWS) -> int | None:
+    """``hot`` when some group of some key column is larger than that, else None.
+
+    Iterative operators ask once; subsets of ``df`` cannot have larger groups.
+    """
+    for key in keys:
+        if not df.groupBy(key).count().filter(F.col("count") > hot).isEmpty():
+            return hot
+    return None
