@@ -83,7 +83,7 @@ def _scan_sql(rows: str, keys: list[str], reasons: list[str]) -> str:
     final = ", ".join(f"CASE WHEN r{i} = '' THEN '' ELSE h{i} END AS k{i}" for i in range(n))
     empty = ", ".join(f"[]::VARCHAR[] AS s{i}" for i in range(n))
     return f"""raw AS (SELECT ord, {numbered} FROM {rows}),
-    rows_n AS (SELECT row_number() OVER (ORDER BY ord) AS rn, ord, {final} FROM raw),
+    rows_n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord) AS rn, ord, {final} FROM raw),
     scan AS (SELECT 0::BIGINT AS rn, -1::BIGINT AS ord, NULL::VARCHAR AS reason, {empty}
       UNION ALL SELECT r.rn, r.ord, {reason} AS reason, {grow} FROM scan JOIN rows_n r ON r.rn = scan.rn + 1)"""
 
@@ -144,7 +144,7 @@ _FAQ_HIT = """CASE WHEN r.q = '' THEN NULL
 @query(
     "dedup_questions",
     f"""WITH RECURSIVE raw AS (SELECT conv_id * 1000 + turn AS ord, {sql_key('text')} AS q FROM conversations WHERE role = 'user'),
-    rows_n AS (SELECT row_number() OVER (ORDER BY ord) AS rn, ord, q, list_distinct(string_split(q, '')) AS s FROM raw),
+    rows_n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord) AS rn, ord, q, list_distinct(string_split(q, '')) AS s FROM raw),
     scan AS (SELECT 0::BIGINT AS rn, -1::BIGINT AS ord, NULL::VARCHAR AS reason, []::VARCHAR[] AS kept
       UNION ALL SELECT r.rn, r.ord, {_FAQ_HIT} AS reason, CASE WHEN ({_FAQ_HIT}) IS NULL AND r.q <> '' THEN list_append(kept, r.q) ELSE kept END AS kept
       FROM scan JOIN rows_n r ON r.rn = scan.rn + 1)
@@ -169,8 +169,8 @@ def dedup_questions_by_topic(spark, sf):
 # --- quality ---------------------------------------------------------------------------
 @query(
     "quality_missing_fields",
-    f"""WITH {STATUTES_SQL} SELECT count_if({sql_strip('title')} = '') AS title, count_if({sql_strip('law_name')} = '') AS law_name,
-    count_if({sql_strip('article_no')} = '') AS article_no, count_if({sql_strip('content')} = '') AS content FROM statutes""",
+    f"""WITH {STATUTES_SQL} SELECT count(*) FILTER (WHERE {sql_strip('title')} = '') AS title, count(*) FILTER (WHERE {sql_strip('law_name')} = '') AS law_name,
+    count(*) FILTER (WHERE {sql_strip('article_no')} = '') AS article_no, count(*) FILTER (WHERE {sql_strip('content')} = '') AS content FROM statutes""",
 )
 def quality_missing_fields(spark, sf):
     return quality.missing_fields(statutes(spark, sf), ["title", "law_name", "article_no", "content"])
@@ -178,7 +178,7 @@ def quality_missing_fields(spark, sf):
 
 @query(
     "quality_length_outliers",
-    f"""WITH {_STRUCTURED} SELECT count_if(length(content) < 40) AS too_short, count_if(length(content) > 1200) AS too_long FROM st""",
+    f"""WITH {_STRUCTURED} SELECT count(*) FILTER (WHERE length(content) < 40) AS too_short, count(*) FILTER (WHERE length(content) > 1200) AS too_long FROM st""",
 )
 def quality_length_outliers(spark, sf):
     return quality.length_outliers(corpus.prepare_statutes(statutes(spark, sf)), "content", *fv.LENGTH_LIMITS["statute"])
