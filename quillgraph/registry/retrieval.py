@@ -371,12 +371,12 @@ def claim_support(spark, sf):
 @query(
     "grounding_score",
     f"""WITH {_CLAIM}, best AS (SELECT item_id, claim, max(0.5 * overlap) AS s FROM cr WHERE n <= 3 AND 0.55 * overlap > 0.03 GROUP BY 1, 2)
-    SELECT item_id, round(avg(s), 3) AS grounding_score, count(*) FILTER (WHERE s < 0.08) AS unsupported_claim_count, avg(s) >= 0.12 AND count(*) FILTER (WHERE s < 0.08) = 0 AS grounded FROM best GROUP BY 1""",
+    SELECT item_id, round(avg(s), 4) AS grounding_score, count(*) FILTER (WHERE s < 0.08) AS unsupported_claim_count, avg(s) >= 0.12 AND count(*) FILTER (WHERE s < 0.08) = 0 AS grounded FROM best GROUP BY 1""",
 )
 def grounding_score(spark, sf):
     mapped, evidence = _claims(spark, sf)
     out = grounding.grounding(grounding.claim_grounding(mapped, evidence, "item_id", semantic=False), "item_id")
-    return out.withColumn("grounding_score", F.round("grounding_score", 3))
+    return out
 
 
 # --- candidates and citations -------------------------------------------------------------------
