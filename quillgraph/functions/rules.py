@@ -83,10 +83,13 @@ def question_type(query: Column) -> Column:
     return F.coalesce(*choices, F.lit("unknown"))
 
 
-def retrieval_strategy(query: Column) -> Column:
-    """struct(retrieval_strategy, reason, uncertain) of the first matching rule."""
+def retrieval_strategy(query: Column, kind: Column | None = None) -> Column:
+    """struct(retrieval_strategy, reason, uncertain) of the first matching rule.
+
+    ``kind`` is the question type where it is known already.
+    """
     q = tx.strip(tx.text_or_empty(query))
-    kind = question_type(query)
+    kind = question_type(query) if kind is None else kind
     choices = []
     for any_of, also, none_of, wanted_type, strategy, reason in fv.STRATEGY_RULES:
         if wanted_type is not None:
