@@ -42,8 +42,10 @@ def clean_cases(rows: DataFrame) -> DataFrame:
     )
 
 
-def clean_faqs(rows: DataFrame) -> DataFrame:
+def clean_faqs(rows: DataFrame, *keep: str) -> DataFrame:
+    """FAQ columns, with any key columns named in ``keep``."""
     return rows.select(
+        *keep,
         *[_aliased(c).alias(c) for c in ("question", "answer", "topic")],
         _each("related_laws", tx.normalize_article_name).alias("related_laws"),
     )
