@@ -17,6 +17,12 @@ from quillgraph.streaming.ingest import run_to_table
 QUERIES, SQL, query = registry()
 
 
+def _stream(spark, sf: str, name: str):
+    """The table's files as a stream."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
 def _folder(spark) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/quillgraph-out-{uuid.uuid4().hex}"
 
@@ -97,8 +103,7 @@ def knowledge_base_faqs(spark, sf):
 @query("stream_conversation_memory")
 def stream_conversation_memory(spark, sf):
     """Stateful memory over the message stream; compared with a sequential fold in the tests."""
-    source = table(spark, sf, "conversations")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf.rstrip('/')}/conversations.parquet")
+    stream = _stream(spark, sf, "conversations")
     path = _folder(spark)
     run_to_table(conversation.conversation_memory(stream), path, f"memory-{uuid.uuid4().hex}").awaitTermination()
     return spark.read.schema(conversation.OUTPUT).parquet(path)
@@ -110,9 +115,9 @@ def stream_conversation_memory(spark, sf):
 )
 def stream_failures_daily(spark, sf):
     """One failure per day, question and reason from the event stream."""
-    source = table(spark, sf, "events")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf.rstrip('/')}/events.parquet")
-    failing = stream.select("ts", F.col("user_id").cast("string").alias("query"), F.col("event_type").alias("failure_reason"))
+    failing = _stream(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("query"), F.col("event_type").alias("failure_reason"),
+    )
     path = _folder(spark)
     kept = failure_stream.daily_distinct(failing).select("day", "failure_key")
     run_to_table(kept, path, f"failures-{uuid.uuid4().hex}").awaitTermination()
