@@ -291,7 +291,7 @@ def _fused(spark, sf):
     queries = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
     vector = vector_search.hash_search(chunks, queries, "chunk_id", "item_id", fv.TOP_K_RETRIEVAL)
     lexical = bm25.search(chunks, queries, "chunk_id", "item_id", fv.TOP_K_RETRIEVAL)
-    return chunks, queries, fusion.reciprocal_rank_fusion(vector, lexical, "item_id", "chunk_id")
+    return chunks, queries, cut_lineage(fusion.reciprocal_rank_fusion(vector, lexical, "item_id", "chunk_id"))
 
 
 @query(
