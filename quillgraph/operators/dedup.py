@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from quillgraph.functions import fixed_values as fv
 from quillgraph.functions import text as tx
-from quillgraph.operators.skew import hot_limit, lookup_unique
+from quillgraph.operators.skew import broadcast_if_small, hot_limit, lookup_unique
 from quillgraph.operators.substring_join import contained_pairs
 from quillgraph.session import compute_once, cut_lineage, explode_rows
 
@@ -26,10 +26,16 @@ CONTAINMENT_GRAM = 16
 
 # --- one key ------------------------------------------------------------------------
 def first_by_key(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """Keep the first row (by the unique ``order`` column) of every key."""
-    digest = F.md5(key)
-    firsts = rows.groupBy(digest.alias("__k")).agg(F.min(order).alias(order)).select(order)
-    return rows.join(firsts, order, "left_semi")
+    """Keep the first row (by the unique ``order`` column) of every key.
+
+    Only (key digest, order) pairs are shuffled; whole rows stay in place while
+    the set of dropped rows fits a broadcast.
+    """
+    slim = cut_lineage(rows.select(order, F.md5(key).alias("__k")))
+    firsts = slim.groupBy("__k").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    repeated = lookup_unique(slim, firsts, "__k", "__n", hot=hot_limit(slim, "__k"))
+    dropped = repeated.filter(F.col(order) > F.col("__first")).select(order)
+    return rows.join(broadcast_if_small(cut_lineage(dropped)), order, "left_anti")
 
 
 # --- several keys, any of which makes a duplicate --------------------------------------
@@ -78,7 +84,7 @@ def greedy_by_keys(rows: DataFrame, order: str, keys: dict[str, Column]) -> Data
         .agg(F.min("t").alias("t"))
         .select(order, F.get(F.array(*[F.lit(n) for n in names]), F.col("t")).alias("reason"))
     )
-    return rows.join(reasons, order, "left")
+    return rows.join(broadcast_if_small(cut_lineage(reasons)), order, "left")
 
 
 def _columns_of(rows: DataFrame, order: str) -> list[str]:
@@ -309,17 +315,16 @@ def dedup_faqs(
         return rows.withColumn("reason", F.lit(None).cast("string"))
     registered = cut_lineage(kept)
     exact = _same_text(keyed, registered, hot_limit(keyed, "norm_key")).filter("rival < ord").select("ord", F.lit(True).alias("exact"))
-    verdict = (
+    removed = (
         keyed.select("ord")
-        .join(registered.select("ord").withColumn("kept", F.lit(True)), "ord", "left")
+        .join(registered.select("ord"), "ord", "left_anti")
         .join(exact, "ord", "left")
         .select(
             F.col("ord").alias(order),
-            F.when(F.col("kept"), F.lit(None)).when(F.col("exact"), "duplicate_question_exact")
-            .otherwise("duplicate_question_near").alias("reason"),
+            F.when(F.col("exact"), "duplicate_question_exact").otherwise("duplicate_question_near").alias("reason"),
         )
     )
-    return rows.join(verdict, order, "left")
+    return rows.join(broadcast_if_small(cut_lineage(removed)), order, "left")
 
 
 def removal_counts(decided: DataFrame) -> DataFrame:

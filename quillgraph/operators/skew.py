@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -47,3 +47,24 @@ def hot_limit(df: DataFrame, *keys: str, hot: int = HOT_GROUP_ROWS) -> int | Non
         if not df.groupBy(key).count().filter(F.col("count") > hot).isEmpty():
             return hot
     return None
+
+
+def previous_value(rows: DataFrame, key: str, order: str, value: str, name: str, block: int = 10_000) -> DataFrame:
+    """Add the preceding non-null ``value`` of the key, by the numeric ``order``.
+
+    Equal to ``lag`` over the key, but a long group is sorted in blocks of the
+    order column: inside a block by a window, across blocks through one last
+    value per block.
+    """
+    blocked = rows.withColumn("__block", F.floor(F.col(order) / block))
+    tails = blocked.groupBy(key, "__block").agg(F.max_by(value, order).alias("__tail"))
+    carried = tails.select(
+        key, "__block", F.lag("__tail").over(Window.partitionBy(key).orderBy("__block")).alias("__carried")
+    )
+    inside = F.lag(value).over(Window.partitionBy(key, "__block").orderBy(order))
+    return (
+        blocked.withColumn("__inside", inside)
+        .join(carried, [key, "__block"])
+        .withColumn(name, F.coalesce("__inside", "__carried"))
+        .drop("__inside", "__carried", "__block")
+    )

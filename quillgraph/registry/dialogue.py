@@ -8,6 +8,7 @@ from quillgraph.functions import fixed_values as fv
 from quillgraph.functions import rules
 from quillgraph.functions import text as tx
 from quillgraph.operators import memory, questions as qn
+from quillgraph.operators.skew import previous_value
 from quillgraph.registry.common import (
     QUESTIONS_SQL, questions, registry, sql_contains_any, sql_first_value, sql_list, sql_strip, sql_text,
     sql_tokens_estimate, table,
@@ -126,13 +127,12 @@ _TRIM = "regexp_replace(regexp_replace(q, '^(那如果|那么|如果|那这个|
 )
 def query_rewrite(spark, sf):
     """Every user question anchored at the previous one of its conversation."""
-    from pyspark.sql import Window
-
-    asked = questions(spark, sf)
-    order = Window.partitionBy("conv_id").orderBy("turn")
+    asked = previous_value(
+        questions(spark, sf).withColumn("said", tx.strip(F.col("query"))), "conv_id", "turn", "said", "anchor"
+    )
     turns = F.floor(F.col("turn") / 2)
     signals = qn.rewrite_signals(F.col("query"), turns)
-    rows = asked.withColumn("anchor", F.lag(tx.strip(F.col("query"))).over(order)).withColumn(
+    rows = asked.withColumn(
         "needed", qn.needs_rewrite(F.col("query"), signals, turns, F.lit(False))
     )
     done = compute_once(rows, r=qn.rewrite(F.col("query"), F.col("anchor"), F.lit(""), F.col("needed")))
@@ -234,13 +234,11 @@ sc AS (SELECT *, round(0.55 * old_confidence + 0.3 * 0.6 + 0.15 * least(1.0, 0.5
 )
 def fact_conflicts(spark, sf):
     """Each stated amount against the one before it in the conversation."""
-    from pyspark.sql import Window
-
     rows = questions(spark, sf).select("conv_id", "turn", F.lit("user").alias("role"), F.col("query").alias("text"))
     facts = memory.scalar_fact_rows(rows).filter("key = 'amount'")
     fact = F.struct("value", "confidence", "source", "turn")
-    pairs = facts.select("conv_id", "turn", fact.alias("new")).withColumn(
-        "old", F.lag("new").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = previous_value(
+        facts.select("conv_id", "turn", fact.alias("new")), "conv_id", "turn", "new", "old"
     ).filter(F.col("old").isNotNull())
     done = compute_once(pairs, r=memory.resolve(F.col("old"), F.col("new")))
     return done.select("conv_id", "turn", F.col("r.chosen.value").alias("chosen"), "r.conflict", "r.uncertain")

@@ -55,15 +55,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy narrow work at least one task per core.
+    """Give CPU-heavy narrow work on a small input at least one task per core.
 
-    A table of many files already has enough splits and is returned as it is;
-    only an input smaller than the cluster is redistributed (so the shuffle is
-    never larger than a few splits).
+    Only inputs the planner estimates below one gigabyte are redistributed; a
+    larger table has enough splits and never pays for a shuffle here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES or df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores)
 

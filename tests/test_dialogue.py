@@ -110,3 +110,16 @@ def test_loop_fallback_only_without_earlier_candidates(spark):
     df = spark.createDataFrame(rows, "ord long, topic string, original_query string")
     got = {(r["topic"], r["candidate_type"], r["suggested_priority"]) for r in feedback.loop_candidates(df, "ord").collect()}
     assert got == {("甲", "faq", "medium"), ("丙", "case", "medium")}
+
+
+def test_previous_value_equals_lag(spark):
+    from pyspark.sql import Window
+
+    from quillgraph.operators.skew import previous_value
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), t, f"v{t}") for t in rng.sample(range(500), 120)]
+    df = spark.createDataFrame(rows, "k int, t long, v string")
+    expected = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("t")))
+    got = previous_value(df, "k", "t", "v", "p", block=40)
+    assert sorted(map(str, got.select("k", "t", "p").collect())) == sorted(map(str, expected.select("k", "t", "p").collect()))
