@@ -31,12 +31,14 @@ def get_spark(app_name: str = "quillgraph", master: str | None = None, **conf: s
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut-lineage tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where nothing is
-    set (tests, a laptop) is a temporary folder chosen.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
+    without the setting (tests, a laptop) gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="quillgraph-checkpoint-")
         spark.sparkContext.setCheckpointDir(configured)
         configured = spark.sparkContext.getCheckpointDir()

@@ -123,7 +123,7 @@ def test_knowledge_base_law(spark):
     assert got["keywords"] == ["盗窃罪", "民法典第七条"]
 
 
-def test_sentences_match_reference_split(spark):
+def test_sentences_match_plain_split(spark):
     text = "One. Two!  三。四；\n five"
     expected = [p.strip() for p in re.split(r"(?<=[.!?。！？；;])\s*", text) if p.strip()]
     assert one(spark, text, tx.sentences) == expected
