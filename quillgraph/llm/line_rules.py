@@ -27,7 +27,7 @@ NAVIGATION = "|»›•>"
 
 MAX_PUNCTUATION = 0.2
 MAX_SEPARATORS = 0.2
-MIN_KEPT = 0.6
+MIN_KEPT = 0.5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
@@ -183,6 +183,6 @@ split AS (
   FROM judged LEFT JOIN repeats USING (rid)
 )
 SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_chars >= 0.6 * word_chars AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_chars >= 0.5 * word_chars AS kept
 FROM counted
 """
