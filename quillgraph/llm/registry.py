@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat_format, line_rules
+import public_tokenizers
+
+from quillgraph.llm import bin_slack, chat_format, line_rules, piece_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +30,19 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(table(spark, sf_dir, "documents")).drop("text")
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op4_line_rules": op4_line_rules}
+def op8_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), model, with_ids=False)
+
+
+def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op4_line_rules": op4_line_rules,
+    "op8_piece_backtracking": op8_piece_backtracking,
+    "op10_bin_slack_packing": op10_bin_slack_packing,
+}
 SQL = {"op2_chat_format": chat_format.ORACLE, "op4_line_rules": line_rules.ORACLE}
