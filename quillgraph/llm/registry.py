@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quillgraph.llm import bin_slack, chat_format, line_rules, piece_bpe
+from quillgraph.llm import bin_slack, chat_format, hyperdim, line_rules, piece_bpe, pu_toxicity, simhash
+from quillgraph.llm.sampling import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,26 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op5_hyperdim_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    prototypes = hyperdim.learn_prototypes(documents.filter(~held_out))
+    return hyperdim.identify(documents, prototypes).withColumn("held_out", held_out)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = pu_toxicity.learn(documents.filter(~held_out), table(spark, sf_dir, "labels"))
+    return pu_toxicity.score(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= pu_toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op8_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), model, with_ids=False)
@@ -42,6 +63,9 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op4_line_rules": op4_line_rules,
+    "op5_hyperdim_language": op5_hyperdim_language,
+    "op6_simhash": op6_simhash,
+    "op7_pu_toxicity": op7_pu_toxicity,
     "op8_piece_backtracking": op8_piece_backtracking,
     "op10_bin_slack_packing": op10_bin_slack_packing,
 }
