@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from functools import cache
 
 import ahocorasick
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.arrow import map_slices
 
 SPACE = "▁"
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 200_000
 CACHED_PAIRS = 500_000
 
 
@@ -52,17 +53,32 @@ class PieceEncoder:
                 self.surface.append(piece.replace(SPACE, " ").encode())
                 self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
+        self.shorter = {piece: self._next_shorter(piece) for piece in self.ids if len(piece) > 1}
         self.segment = self._boundaries()
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def _next_shorter(self, piece: str) -> str:
+        """The longest proper prefix that is a piece, else the first character."""
+        return next((piece[:n] for n in range(len(piece) - 1, 1, -1) if piece[:n] in self.ids), piece[0])
+
     def _boundaries(self) -> re.Pattern:
-        """Cut before a run of spaces and around line feeds where no piece reaches across."""
+        """Where to cut: only between characters that stand side by side in no piece, so no merge is lost.
+
+        Cuts come before a run of spaces, around line feeds, and between
+        letters and other characters, each only if the vocabulary allows it.
+        """
         feed = "" if any("\n" in piece for piece in self.ids) else "\n"
         if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
             return re.compile(f"{feed}|[^{feed}]+" if feed else ".+", re.DOTALL)
-        own = f"{SPACE}+[^{SPACE}{feed}]*|[^{SPACE}{feed}]+"
-        return re.compile(f"{feed}|{own}" if feed else own)
+        letter = r"[^\W\d_]"
+        across = re.compile(f"{letter}(?!{SPACE})[\\W\\d_]|(?!{SPACE})[\\W\\d_]{letter}")
+        if any(across.search(piece) for piece in self.ids):
+            own = f"{SPACE}*[^{SPACE}{feed}]+"
+        else:
+            own = f"{SPACE}*{letter}+|{SPACE}*(?:(?![{SPACE}{feed}])[\\W\\d_])+"
+        return re.compile("|".join([own, f"{SPACE}+", *feed]))
 
     def _merged(self, text: str) -> list[str]:
         """Merge adjacent symbols, highest score first and leftmost among equals, until no pair is a piece."""
@@ -89,31 +105,32 @@ class PieceEncoder:
 
     def split(self, text: str) -> list[str]:
         """Pieces of one segment; a character outside the vocabulary stands for itself."""
-        lengths: list[list[int]] = [[] for _ in text]
+        longest = [1] * len(text)
         for end, length in self.automaton.iter(text):
-            lengths[end - length + 1].append(length)
-        for options in lengths:
-            if not options or options[0] != 1:
-                options.insert(0, 1)
+            longest[end - length + 1] = length
+        pairs, shorter = self.pairs, self.shorter
         failed, at, last = 0, 0, ""
-        taken: list[tuple[int, int, str]] = []
-        choice = len(lengths[0]) - 1
-        while at < len(text):
-            options = lengths[at]
-            while choice >= 0:
-                end = at + options[choice]
-                if not failed >> end & 1 and self._compatible(last, text[at:end]):
-                    break
-                choice -= 1
-            if choice >= 0:
-                taken.append((at, choice, last))
-                last, at = text[at:end], end
-                choice = len(lengths[at]) - 1 if at < len(text) else 0
+        taken: list[str] = []
+        piece = text[: longest[0]]
+        while True:
+            while piece:
+                end = at + len(piece)
+                if not failed >> end & 1:
+                    fits = pairs.get((last, piece))
+                    if fits or (fits is None and self._compatible(last, piece)):
+                        break
+                piece = shorter.get(piece, "")
+            if piece:
+                taken.append(piece)
+                if end == len(text):
+                    return taken
+                at, last, piece = end, piece, text[end : end + longest[end]]
             else:
                 failed |= 1 << at
-                at, choice, last = taken.pop()
-                choice -= 1
-        return [text[start : start + lengths[start][k]] for start, k, _ in taken]
+                piece = taken.pop()
+                at -= len(piece)
+                last = taken[-1] if taken else ""
+                piece = shorter.get(piece, "")
 
     def _segment(self, text: str) -> tuple[bytes, str]:
         found: list[int] = []
@@ -123,7 +140,7 @@ class PieceEncoder:
                 found.extend(self.byte_ids[b] for b in piece.encode())
             else:
                 found.append(own)
-        return np.asarray(found, "<u4").tobytes(), b"".join(map(self.surface.__getitem__, found)).decode("utf-8", "replace")
+        return struct.pack(f"<{len(found)}I", *found), b"".join(map(self.surface.__getitem__, found)).decode("utf-8", "replace")
 
     def _segments(self, text: str) -> list[tuple[bytes, str]]:
         if not text:
@@ -131,16 +148,19 @@ class PieceEncoder:
         cut = self.segment.findall(SPACE + text.replace(" ", SPACE))
         found = list(map(self.known.get, cut))
         if None in found:
-            if len(self.known) >= CACHED_SEGMENTS:
-                self.known.clear()
             for i, value in enumerate(found):
                 if value is None:
-                    value = self.known.get(cut[i])
-                    if value is None:
-                        value = self.known[cut[i]] = self._segment(cut[i])
-                    found[i] = value
+                    found[i] = self.known.get(cut[i]) or self._remember(cut[i])
         return found
 
+    def _remember(self, segment: str) -> tuple[bytes, str]:
+        """Two tables take turns: what is still used moves on when the younger one is full."""
+        value = self.older.get(segment) or self._segment(segment)
+        if len(self.known) >= CACHED_SEGMENTS:
+            self.older, self.known = self.known, {}
+        self.known[segment] = value
+        return value
+
     def encode(self, text: str) -> np.ndarray:
         """Ids with begin and end of sentence."""
         body = b"".join([ids for ids, _ in self._segments(text)])

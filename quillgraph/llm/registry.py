@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import uuid
 
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm import bin_slack, chat_format, hyperdim, line_rules, piece_bpe, pu_toxicity, simhash
+from quillgraph.llm import bin_slack, chat_format, hyperdim, line_rules, piece_bpe, pu_toxicity, separator_scan, simhash
 from quillgraph.llm.sampling import fold
+from quillgraph.session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the documents, found in flat files of their ids; ``file_no`` is the number Spark gave the file."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokenizer, end_id = public_tokenizers.path("byte_bpe_50k.json"), 50256
+    separator_scan.write_token_files(table(spark, sf_dir, "documents"), tokenizer, end_id, path)
+    found = separator_scan.scan_separators(spark, path, end_id)
+    number = F.regexp_extract("file", r"part-([0-9]+)", 1).cast("int")
+    return found.select(number.alias("file_no"), "doc_no", "start", "n_tokens", "closed")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     planted = spark.range(2).select(
@@ -61,6 +73,7 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_separator_scan": op1_separator_scan,
     "op2_chat_format": op2_chat_format,
     "op4_line_rules": op4_line_rules,
     "op5_hyperdim_language": op5_hyperdim_language,
