@@ -11,13 +11,15 @@ SLICE_ROWS = 256
 SLICE_BYTES = 8 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def slices(
+    batch: pa.RecordBatch, column: str, most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` of a slice holds few bytes; one long value is a slice of its own."""
     start, size = 0, 0
     values = batch.column(column)
     for at in range(batch.num_rows):
         length = len(values[at].as_buffer() or b"") if values[at].is_valid else 0
-        if at > start and (size + length > SLICE_BYTES or at - start >= SLICE_ROWS):
+        if at > start and (size + length > most_bytes or at - start >= most_rows):
             yield batch.slice(start, at - start)
             start, size = at, 0
         size += length

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bin_slack, chat_format, hyperdim, line_rules, piece_bpe, pu_toxicity, separator_scan, simhash
+from quillgraph.llm import (
+    bin_slack,
+    chat_format,
+    hnsw,
+    hyperdim,
+    line_rules,
+    piece_bpe,
+    pu_toxicity,
+    separator_scan,
+    simhash,
+    stupid_backoff,
+)
 from quillgraph.llm.sampling import fold
 from quillgraph.session import checkpoint_dir
 
@@ -39,6 +50,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.prefix_examples(given))
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(embeddings, embeddings.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(table(spark, sf_dir, "documents")).drop("text")
 
@@ -68,6 +84,11 @@ def op8_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), model, with_ids=False)
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stupid_backoff.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -75,11 +96,17 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_separator_scan": op1_separator_scan,
     "op2_chat_format": op2_chat_format,
+    "op3_hnsw": op3_hnsw,
     "op4_line_rules": op4_line_rules,
     "op5_hyperdim_language": op5_hyperdim_language,
     "op6_simhash": op6_simhash,
     "op7_pu_toxicity": op7_pu_toxicity,
     "op8_piece_backtracking": op8_piece_backtracking,
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op10_bin_slack_packing": op10_bin_slack_packing,
 }
-SQL = {"op2_chat_format": chat_format.ORACLE, "op4_line_rules": line_rules.ORACLE}
+SQL = {
+    "op2_chat_format": chat_format.ORACLE,
+    "op4_line_rules": line_rules.ORACLE,
+    "op9_stupid_backoff": stupid_backoff.ORACLE,
+}
