@@ -1,23 +1,27 @@
 """Byte-level BPE ids by the ``tokenizers`` library, one library call per new segment.
 
-No merge crosses a boundary from a character that is no white space to one
-that is, because the pre-tokenizer always cuts there.  So a text is cut at
-those places and the ids of its segments are looked up; only segments not met
-before go through the library.
+No merge crosses the start of white space, nor the end of a run of letters
+and digits before punctuation, because the pre-tokenizer always cuts there.  So
+a text is cut at those places and the ids of its segments are looked up; only
+segments not met before go through the library.  Two tables take turns, so that
+what is in use stays known while memory is bounded.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import cache
 
 import numpy as np
 
 #: The characters of Unicode's White_Space property.
 WHITE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-CACHED_SEGMENTS = 400_000
+#: ASCII punctuation, never part of a letter or number run.
+MARKS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+SEGMENT = re.compile(f"[{WHITE}]*(?:[^\\W_]++(?=[{MARKS}])|[^{WHITE}]+)|[{WHITE}]+")
+CACHED_SEGMENTS = 500_000
 
 
 class SegmentIds:
@@ -30,19 +34,23 @@ class SegmentIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [SEGMENT.findall(text) for text in texts]
-        known = self.known
-        missing = {segment for segments in cut for segment in segments if segment not in known}
-        if len(known) + len(missing) > CACHED_SEGMENTS:
-            known.clear()
-            missing = {segment for segments in cut for segment in segments}
-        fresh = list(missing)
+        if len(self.known) >= CACHED_SEGMENTS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        fresh = []
+        for segment in {segment for segments in cut for segment in segments if segment not in known}:
+            if segment in older:
+                known[segment] = older[segment]
+            else:
+                fresh.append(segment)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             for segment, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[segment] = np.asarray(made.ids, "<u4").tobytes()
+                known[segment] = struct.pack(f"<{len(made)}I", *made.ids)
         return [np.frombuffer(b"".join(map(known.__getitem__, segments)), "<u4") for segments in cut]
 
 
