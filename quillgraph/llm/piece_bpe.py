@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
+from array import array
 from functools import cache
 
 import ahocorasick
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.arrow import map_slices
 
 SPACE = "▁"
-CACHED_SEGMENTS = 200_000
+CACHED_SEGMENTS = 500_000
 CACHED_PAIRS = 500_000
 
 
@@ -55,8 +55,8 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.shorter = {piece: self._next_shorter(piece) for piece in self.ids if len(piece) > 1}
         self.segment = self._boundaries()
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def _next_shorter(self, piece: str) -> str:
@@ -132,48 +132,49 @@ class PieceEncoder:
                 last = taken[-1] if taken else ""
                 piece = shorter.get(piece, "")
 
-    def _segment(self, text: str) -> tuple[bytes, str]:
-        found: list[int] = []
-        for piece in self.split(text):
-            own = self.ids.get(piece)
-            if own is None:
-                found.extend(self.byte_ids[b] for b in piece.encode())
-            else:
-                found.append(own)
-        return struct.pack(f"<{len(found)}I", *found), b"".join(map(self.surface.__getitem__, found)).decode("utf-8", "replace")
-
-    def _segments(self, text: str) -> list[tuple[bytes, str]]:
-        if not text:
-            return []
-        cut = self.segment.findall(SPACE + text.replace(" ", SPACE))
-        found = list(map(self.known.get, cut))
+    def _ids(self, segment: str) -> list[int]:
+        pieces = self.split(segment)
+        found = list(map(self.ids.get, pieces))
         if None in found:
-            for i, value in enumerate(found):
-                if value is None:
-                    found[i] = self.known.get(cut[i]) or self._remember(cut[i])
+            found = [i for p in pieces for i in ([self.ids[p]] if p in self.ids else map(self.byte_ids.__getitem__, p.encode()))]
         return found
 
-    def _remember(self, segment: str) -> tuple[bytes, str]:
-        """Two tables take turns: what is still used moves on when the younger one is full."""
-        value = self.older.get(segment) or self._segment(segment)
+    def _surface(self, ids: list[int]) -> str:
+        return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+
+    def _look_up(self, segment: str, odd: dict[str, str]) -> bytes:
+        """Ids of a segment.  Two tables take turns: what is still used moves on when the younger one is full.
+
+        Every new segment is decoded as well.  One whose surface is not its own
+        text goes to ``odd`` and is not remembered.
+        """
+        value = self.known.get(segment) or self.older.get(segment)
+        if value is None:
+            ids = self._ids(segment)
+            value = array("I", ids).tobytes()
+            surface = self._surface(ids)
+            if surface != segment.replace(SPACE, " "):
+                odd[segment] = surface
+                return value
         if len(self.known) >= CACHED_SEGMENTS:
             self.older, self.known = self.known, {}
         self.known[segment] = value
         return value
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids with begin and end of sentence."""
-        body = b"".join([ids for ids, _ in self._segments(text)])
-        ends = np.array([self.bos, self.eos], "<u4")
-        return np.concatenate([ends[:1], np.frombuffer(body, "<u4"), ends[1:]])
-
     def round_trip(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids and what they decode to: the pieces' surfaces without the blank put before the text."""
-        found = self._segments(text)
-        ends = np.array([self.bos, self.eos], "<u4")
-        body = np.frombuffer(b"".join([ids for ids, _ in found]), "<u4")
-        decoded = "".join([surface for _, surface in found])
-        return np.concatenate([ends[:1], body, ends[1:]]), decoded[1:] if decoded.startswith(" ") else decoded
+        """The ids with begin and end of sentence, and what they decode to.
+
+        Decoding joins the pieces' surfaces and drops the blank put before the text.
+        """
+        cut = self.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        odd: dict[str, str] = {}
+        found = list(map(self.known.get, cut))
+        if None in found:
+            found = [self._look_up(s, odd) if v is None else v for s, v in zip(cut, found, strict=True)]
+        body = np.frombuffer(b"".join(found), np.uint32)
+        decoded = "".join([odd.get(s, s) for s in cut] if odd else cut).replace(SPACE, " ")
+        ids = np.concatenate([[self.bos], body, [self.eos]]).astype("<u4")
+        return ids, decoded[1:] if decoded.startswith(" ") else decoded
 
 
 @cache
