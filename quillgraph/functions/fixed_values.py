@@ -590,3 +590,13 @@ STAGE_SUGGESTIONS = [
 LENGTH_LIMITS = {"statute": (40, 1200), "case": (60, 2000), "faq": (15, 500)}
 NEAR_DUPLICATE_RATIO = 0.985
 NEAR_DUPLICATE_JACCARD = 0.995
+
+# Fixed texts of an answer.
+EVIDENCE_NODE_HEADING = "Relevant entities:"
+EVIDENCE_EDGE_HEADING = "Relevant graph relations:"
+NOTE_CERTAIN = "不确定性较低。"
+NOTE_SPARSE = "不确定性较高：检索证据可能不完整。"
+NOTE_UNLINKED = "中等不确定性：部分目标实体未被链接。"
+NOTE_UNGROUNDED = "证据落地性不足。"
+NOTE_EVIDENCE_WORD = "证据"
+NO_CITATIONS = "共0条引用；主要来源={}；法条=[]；案例=[]"
