@@ -118,8 +118,10 @@ def resolve(old: Column, new: Column, strategy: str = "confidence_weighted") ->
     The newer fact wins ties and keeps the larger confidence.
     """
     conflict = old["value"] != new["value"]
+    surer = F.when(new["confidence"] > old["confidence"], new).otherwise(old)
     if strategy == "latest_wins":
-        return F.struct(new.alias("chosen"), F.lit(False).alias("uncertain"), conflict.alias("conflict"))
+        latest = F.when(conflict, new).otherwise(surer)
+        return F.struct(latest.alias("chosen"), F.lit(False).alias("uncertain"), conflict.alias("conflict"))
     old_score = fact_score(old["confidence"], old["source"], old["turn"])
     new_score = fact_score(new["confidence"], new["source"], new["turn"])
     raised = F.struct(
@@ -129,7 +131,7 @@ def resolve(old: Column, new: Column, strategy: str = "confidence_weighted") ->
         new["turn"].alias("turn"),
     )
     chosen = (
-        F.when(~conflict, F.when(new["confidence"] > old["confidence"], new).otherwise(old))
+        F.when(~conflict, surer)
         .when(new_score >= old_score, raised)
         .otherwise(old)
     )
@@ -167,6 +169,46 @@ def scalar_fact_rows(messages: DataFrame) -> DataFrame:
     ).select("conv_id", F.col("kv.key").alias("key"), "turn", F.col("kv.value").alias("value"), "confidence", "source")
 
 
+def fold_facts(messages: DataFrame, strategy: str = "confidence_weighted") -> DataFrame:
+    """(conv_id, key, value, confidence, source, turn, events): scalar facts folded over the whole conversation.
+
+    Every stated value meets the value kept so far, in the order of turns.  The
+    turn of a fact is the number of its user-assistant pair, from 1.  ``events``
+    logs the conflicts: message turn, old, new and chosen value, uncertainty.
+    Only the stated facts of a conversation come together, as short structs.
+    """
+    pair = F.sum((F.col("role") == "user").cast("int")).over(
+        Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    pairs = messages.select("conv_id", "turn", F.greatest(F.lit(1), pair).cast("int").alias("pair"))
+    stated = scalar_fact_rows(messages).join(pairs, ["conv_id", "turn"])
+    fact = F.struct("value", "confidence", "source", F.col("pair").alias("turn"))
+    listed = stated.groupBy("conv_id", "key").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("turn").alias("at"), fact.alias("fact")))).alias("facts")
+    )
+    event = "struct<at:bigint,old_value:string,new_value:string,chosen_value:string,uncertain:boolean>"
+    kind = "struct<value:string,confidence:double,source:string,turn:int>"
+    first = F.struct(F.get("facts", 0)["fact"].cast(kind).alias("kept"), F.array().cast(f"array<{event}>").alias("events"))
+
+    def step(acc: Column, x: Column) -> Column:
+        def with_result(r: Column) -> Column:
+            logged = F.struct(
+                x["at"].cast("bigint").alias("at"), acc["kept"]["value"].alias("old_value"), x["fact"]["value"].alias("new_value"),
+                r["chosen"]["value"].alias("chosen_value"), r["uncertain"].alias("uncertain"),
+            ).cast(event)
+            return F.struct(
+                r["chosen"].cast(kind).alias("kept"),
+                F.when(r["conflict"], F.concat(acc["events"], F.array(logged))).otherwise(acc["events"]).alias("events"),
+            )
+
+        return F.get(F.transform(F.array(resolve(acc["kept"], x["fact"].cast(kind), strategy)), with_result), F.lit(0))
+
+    folded = listed.select(
+        "conv_id", "key", F.aggregate(F.slice("facts", F.lit(2), F.size("facts")), first, step).alias("r")
+    )
+    return folded.select("conv_id", "key", "r.kept.*", "r.events")
+
+
 # --- summary --------------------------------------------------------------------------
 def summaries(messages: DataFrame) -> DataFrame:
     """Topic, issues, laws and the last two open user questions per conversation.

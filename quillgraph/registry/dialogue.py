@@ -222,26 +222,59 @@ def fact_lists(spark, sf):
     return memory.list_facts(rows)
 
 
-_FACT_ROWS = f"""{QUESTIONS_SQL}, {_FACT}, fr AS (SELECT conv_id, turn, amount AS value, confidence FROM fc WHERE amount IS NOT NULL),
-fl AS (SELECT *, lag(value) OVER w AS old_value, lag(confidence) OVER w AS old_confidence, lag(turn) OVER w AS old_turn FROM fr WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-sc AS (SELECT *, round(0.55 * old_confidence + 0.3 * 0.6 + 0.15 * least(1.0, 0.5 + old_turn / 20.0), 6) AS old_score, round(0.55 * confidence + 0.3 * 0.6 + 0.15 * least(1.0, 0.5 + turn / 20.0), 6) AS new_score FROM fl WHERE old_value IS NOT NULL)"""
+_FACT_FOLD = f"""{QUESTIONS_SQL}, {_FACT}, said AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pair FROM questions),
+fr AS (SELECT conv_id, turn, 'amount' AS key, amount AS value, CAST(confidence AS DOUBLE) AS confidence FROM fc WHERE amount IS NOT NULL
+  UNION ALL SELECT conv_id, turn, 'time', time, CAST(confidence AS DOUBLE) FROM fc WHERE time IS NOT NULL),
+numbered AS (SELECT fr.*, pair, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) AS n FROM fr JOIN said USING (conv_id, turn)),
+folded AS (
+  SELECT conv_id, key, n, turn AS said_at, value, confidence, pair, NULL::VARCHAR AS old_value, NULL::VARCHAR AS new_value, false AS conflict, false AS uncertain FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT x.conv_id, x.key, x.n, x.turn,
+    CASE WHEN f.value = x.value OR x.s < f.s THEN f.value ELSE x.value END,
+    CASE WHEN f.value = x.value THEN greatest(f.confidence, x.confidence) WHEN x.s >= f.s THEN greatest(f.confidence, x.confidence) ELSE f.confidence END,
+    CASE WHEN f.value = x.value THEN CASE WHEN x.confidence > f.confidence THEN x.pair ELSE f.pair END WHEN x.s >= f.s THEN x.pair ELSE f.pair END,
+    f.value, x.value, f.value <> x.value, f.value <> x.value AND abs(x.s - f.s) < 0.05
+  FROM (SELECT *, round(0.55 * confidence + 0.3 * 0.6 + 0.15 * least(1.0, 0.5 + pair / 20.0), 6) AS s FROM folded) f
+  JOIN (SELECT *, round(0.55 * confidence + 0.3 * 0.6 + 0.15 * least(1.0, 0.5 + pair / 20.0), 6) AS s FROM numbered) x
+    ON x.conv_id = f.conv_id AND x.key = f.key AND x.n = f.n + 1)"""
+
+
+def _user_facts(spark, sf):
+    return questions(spark, sf).select("conv_id", "turn", F.lit("user").alias("role"), F.col("query").alias("text"))
 
 
 @query(
     "fact_conflicts",
-    f"""WITH {_FACT_ROWS} SELECT conv_id, turn, CASE WHEN old_value = value THEN old_value WHEN new_score >= old_score THEN value ELSE old_value END AS chosen,
-    old_value <> value AS conflict, old_value <> value AND abs(new_score - old_score) < 0.05 AS uncertain FROM sc""",
+    f"""WITH RECURSIVE {_FACT_FOLD} SELECT conv_id, key, said_at AS turn, old_value, new_value, value AS chosen, uncertain FROM folded WHERE conflict""",
 )
 def fact_conflicts(spark, sf):
-    """Each stated amount against the one before it in the conversation."""
-    rows = questions(spark, sf).select("conv_id", "turn", F.lit("user").alias("role"), F.col("query").alias("text"))
-    facts = memory.scalar_fact_rows(rows).filter("key = 'amount'")
-    fact = F.struct("value", "confidence", "source", "turn")
-    pairs = previous_value(
-        facts.select("conv_id", "turn", fact.alias("new")), "conv_id", "turn", "new", "old"
-    ).filter(F.col("old").isNotNull())
-    done = compute_once(pairs, r=memory.resolve(F.col("old"), F.col("new")))
-    return done.select("conv_id", "turn", F.col("r.chosen.value").alias("chosen"), "r.conflict", "r.uncertain")
+    """Conflict log: every stated amount or time against the value kept so far."""
+    events = memory.fold_facts(_user_facts(spark, sf)).select("conv_id", "key", F.explode("events").alias("e"))
+    return events.select(
+        "conv_id", "key", F.col("e.at").alias("turn"), "e.old_value", "e.new_value", F.col("e.chosen_value").alias("chosen"), "e.uncertain"
+    )
+
+
+@query(
+    "fact_conflict_fold",
+    f"""WITH RECURSIVE {_FACT_FOLD} SELECT conv_id, key, arg_max(value, n) AS value, round(arg_max(confidence, n), 6) AS confidence, arg_max(pair, n) AS turn, count(*) FILTER (WHERE conflict) AS conflicts
+    FROM folded GROUP BY conv_id, key""",
+)
+def fact_conflict_fold(spark, sf):
+    """The scalar facts a conversation ends with."""
+    out = memory.fold_facts(_user_facts(spark, sf))
+    return out.select("conv_id", "key", "value", F.round("confidence", 6).alias("confidence"), "turn", F.size("events").alias("conflicts"))
+
+
+@query(
+    "fact_latest",
+    f"""WITH RECURSIVE {_FACT_FOLD}, l AS (SELECT *, lag(value) OVER (PARTITION BY conv_id, key ORDER BY n) AS before FROM numbered)
+    SELECT conv_id, key, arg_max(value, n) AS value, count(*) FILTER (WHERE before <> value) AS conflicts FROM l GROUP BY conv_id, key""",
+)
+def fact_latest(spark, sf):
+    """The scalar facts when the latest statement wins."""
+    out = memory.fold_facts(_user_facts(spark, sf), "latest_wins")
+    return out.select("conv_id", "key", "value", F.size("events").alias("conflicts"))
 
 
 def _said(word: str) -> str:

@@ -102,7 +102,7 @@ def knowledge_base_faqs(spark, sf):
 # --- streams ---------------------------------------------------------------------------------
 @query("stream_conversation_memory")
 def stream_conversation_memory(spark, sf):
-    """Stateful memory over the message stream; compared with a sequential fold in the tests."""
+    """Stateful memory over the message stream; one row per message."""
     stream = _stream(spark, sf, "conversations")
     path = _folder(spark)
     run_to_table(conversation.conversation_memory(stream), path, f"memory-{uuid.uuid4().hex}").awaitTermination()

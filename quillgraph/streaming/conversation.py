@@ -1,7 +1,11 @@
 """Streaming conversation memory.
 
 State per conversation is bounded: the short-term window (24 messages, 1800
-tokens), the latest scalar facts, list facts and the summary text.
+tokens), the kept value of each scalar fact, list facts (fixed word lists), the
+summary text and a few counters.  Nothing waits for missing turns: messages are
+folded in the order of their turns within what has arrived.  One that arrives
+after a later turn was folded is passed on marked ``late`` and counted, so every
+input row gives one output row.
 """
 
 from __future__ import annotations
@@ -19,10 +23,13 @@ from quillgraph.functions import text as tx
 from quillgraph.operators import memory
 
 OUTPUT = (
-    "conv_id bigint, turn bigint, message_count int, user_turns int, tokens int, trigger string, "
-    "amount string, conflicts int"
+    "conv_id bigint, turn bigint, message_count int, user_turns int, tokens int, trigger string, summary_updated boolean, "
+    "summary string, amount string, time string, list_facts string, conflicts int, late boolean, late_count int"
 )
-STATE = "window string, facts string, pending string, next_turn bigint, conflicts int"
+STATE = "memory string"
+SCALARS = ("amount", "time")
+LISTS = ("relationship", "actor", "role", "event")
+SUMMARY_WORDS = list(dict.fromkeys(fv.SUMMARY_TOPICS + fv.SUMMARY_ISSUES + fv.SUMMARY_LAWS))
 
 
 def _score(fact: dict) -> float:
@@ -44,61 +51,101 @@ def _merge(old: dict | None, new: dict) -> tuple[dict, bool]:
     return old, True
 
 
-def update_conversation(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold new messages into the conversation's memory, one output row per message.
+def _summary(window: list[dict]) -> str:
+    """Summary of the window's messages, as ``memory.summaries`` words it."""
+    said = {word for message in window for word in message["words"]}
+    asked = [message["question"] for message in reversed(window) if message["question"]][:2]
 
-    Messages that arrive ahead of their turn wait in the state.
-    """
-    if state.exists:
-        window, facts, pending, next_turn, conflicts = state.get
-        window, facts, pending = json.loads(window), json.loads(facts), json.loads(pending)
-    else:
-        window, facts, pending, next_turn, conflicts = [], {}, {}, 0, 0
-    rows = []
-    for batch in batches:
-        for record in batch.to_dict("records"):
-            if record["turn"] >= next_turn:
-                pending[str(record["turn"])] = {k: record[k] for k in ("role", "tokens", "amount", "confidence", "source")}
-        while str(next_turn) in pending:
-            message = pending.pop(str(next_turn))
-            window.append([message["role"], int(message["tokens"])])
-            window = window[-2 * fv.MEMORY_MAX_TURNS :]
-            while window and sum(t for _, t in window) > fv.MEMORY_MAX_TOKENS:
-                window.pop(0)
-            if message["amount"]:
-                new = {"value": message["amount"], "confidence": message["confidence"], "source": message["source"], "turn": next_turn}
-                facts["amount"], conflict = _merge(facts.get("amount"), new)
-                conflicts += int(conflict)
-            users = sum(1 for role, _ in window if role == "user")
-            tokens = sum(t for _, t in window)
-            trigger = "none"
-            if message["role"] == "assistant":
-                trigger = (
-                    "turn_threshold" if users >= fv.SUMMARY_TURNS else "token_threshold" if tokens >= fv.SUMMARY_TOKENS else "none"
-                )
-            amount = facts["amount"]["value"] if "amount" in facts else None
-            rows.append((key[0], next_turn, len(window), users, tokens, trigger, amount, conflicts))
-            if trigger != "none":
-                window = window[-2 * fv.MEMORY_WINDOW :]
-            next_turn += 1
-    state.update((json.dumps(window), json.dumps(facts), json.dumps(pending), next_turn, conflicts))
-    yield pd.DataFrame(
-        rows, columns=["conv_id", "turn", "message_count", "user_turns", "tokens", "trigger", "amount", "conflicts"]
-    )
+    def listed(words: list[str], separator: str, empty: str) -> str:
+        return separator.join(words) or empty
 
+    topic = next((w for w in fv.SUMMARY_TOPICS if w in said), fv.SUMMARY_NO_TOPIC)
+    issues = listed([w for w in fv.SUMMARY_ISSUES if w in said], "、", fv.SUMMARY_TO_FILL)
+    laws = listed([w for w in fv.SUMMARY_LAWS if w in said], "、", fv.SUMMARY_TO_FILL)
+    return f"咨询主题：{topic}；已讨论问题：{issues}；已引用法条：{laws}；待解决：{listed(asked, '；', fv.SUMMARY_NONE_OPEN)}"
 
-def conversation_memory(messages: DataFrame) -> DataFrame:
-    """Streaming plan: message stream (conv_id, turn, role, text) -> memory rows.
 
-    Regex work stays in the JVM; the state function only sees numbers and facts.
-    """
+def fold(state: dict, message: dict) -> dict:
+    """Take one message into ``state`` and return what is reported about it."""
+    late = state["last"] is not None and message["turn"] <= state["last"]
+    trigger, updated = "none", False
+    if late:
+        state["late"] += 1
+    else:
+        state["last"] = int(message["turn"])
+        state["pair"] += message["role"] == "user"
+        window = state["window"]
+        window.append({k: message[k] for k in ("role", "tokens", "words", "question")})
+        del window[: -2 * fv.MEMORY_MAX_TURNS]
+        while window and sum(m["tokens"] for m in window) > fv.MEMORY_MAX_TOKENS:
+            window.pop(0)
+        for key in SCALARS:
+            if message[key]:
+                new = {"value": message[key], "confidence": message["confidence"], "source": message["source"]}
+                kept, conflict = _merge(state["facts"].get(key), {**new, "turn": max(1, state["pair"])})
+                state["facts"][key] = kept
+                state["conflicts"] += conflict
+        for key in LISTS:
+            known = state["lists"].setdefault(key, [])
+            known.extend(v for v in message[f"{key}_facts"] if v not in known)
+        if message["role"] == "assistant":
+            users = sum(m["role"] == "user" for m in window)
+            tokens = sum(m["tokens"] for m in window)
+            trigger = "turn_threshold" if users >= fv.SUMMARY_TURNS else "token_threshold" if tokens >= fv.SUMMARY_TOKENS else "none"
+    window = state["window"]
+    report = {
+        "turn": message["turn"], "message_count": len(window), "user_turns": sum(m["role"] == "user" for m in window),
+        "tokens": sum(m["tokens"] for m in window), "trigger": trigger,
+        "amount": state["facts"].get("amount", {}).get("value"), "time": state["facts"].get("time", {}).get("value"),
+        "list_facts": json.dumps(state["lists"], ensure_ascii=False), "conflicts": state["conflicts"], "late": late,
+        "late_count": state["late"],
+    }
+    if trigger != "none":
+        summary = _summary(window)
+        updated = summary != state["summary"]
+        state["summary"] = summary
+        if updated:
+            del window[: -2 * fv.MEMORY_WINDOW]
+    return report | {"summary_updated": updated, "summary": state["summary"]}
+
+
+def empty_state() -> dict:
+    return {"window": [], "facts": {}, "lists": {}, "summary": "", "pair": 0, "conflicts": 0, "late": 0, "last": None}
+
+
+def update_conversation(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Fold what has arrived, in the order of turns; one output row per message."""
+    kept = json.loads(state.get[0]) if state.exists else empty_state()
+    arrived = pd.concat(list(batches)).sort_values(["turn", "role"], kind="stable")
+    rows = []
+    for record in arrived.to_dict("records"):
+        message = {k: (list(v) if hasattr(v, "tolist") and not isinstance(v, str) and getattr(v, "ndim", 0) else v) for k, v in record.items()}
+        message["tokens"], message["turn"] = int(message["tokens"]), int(message["turn"])
+        rows.append(fold(kept, message))
+    state.update((json.dumps(kept, ensure_ascii=False),))
+    out = pd.DataFrame(rows)
+    out.insert(0, "conv_id", key[0])
+    yield out[[c.split()[0] for c in OUTPUT.split(", ")]]
+
+
+def prepared_messages(messages: DataFrame) -> DataFrame:
+    """What the fold needs of each message; all regex and word matching stays in the JVM."""
     facts = memory.extract_facts(F.col("text"))
-    prepared = messages.select(
-        "conv_id", "turn", "role", tx.estimate_tokens(F.col("text")).alias("tokens"), facts.alias("f")
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), tx.text_or_empty(F.col("text")))
+    said = tx.strip(tx.text_or_empty(F.col("text")))
+    asked = (F.col("role") == "user") & (said.endswith("？") | said.endswith("?"))
+    return messages.select(
+        "conv_id", "turn", "role", tx.estimate_tokens(F.col("text")).alias("tokens"), facts.alias("f"),
+        tx.matching_words(line, SUMMARY_WORDS).alias("words"), F.when(asked, said).alias("question"),
     ).select(
-        "conv_id", "turn", "role", "tokens", F.col("f.amount").alias("amount"), F.col("f.confidence").alias("confidence"),
+        "conv_id", "turn", "role", "tokens", "words", "question", *[F.col(f"f.{k}").alias(k) for k in SCALARS],
+        *[F.col(f"f.{k}").alias(f"{k}_facts") for k in LISTS], F.col("f.confidence").alias("confidence"),
         memory.fact_source(F.col("role")).alias("source"),
     )
-    return prepared.groupBy("conv_id").applyInPandasWithState(
+
+
+def conversation_memory(messages: DataFrame) -> DataFrame:
+    """Streaming plan: message stream (conv_id, turn, role, text) -> memory rows."""
+    return prepared_messages(messages).groupBy("conv_id").applyInPandasWithState(
         update_conversation, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )

@@ -9,7 +9,11 @@ from quillgraph.functions import ids
 
 
 def daily_distinct(failures: DataFrame, time: str = "ts", query: str = "query", reason: str = "failure_reason") -> DataFrame:
-    """First arrival of each (day, question, reason); state older than a day is dropped."""
+    """First arrival of each (day, question, reason), however late it comes.
+
+    No watermark: one would drop late failures without a trace.  The state
+    holds one key per recorded failure and day.
+    """
     day = F.date_format(time, "yyyy-MM-dd")
     keyed = failures.withColumn("day", day).withColumn("failure_key", ids.runtime_failure_key(day, F.col(query), F.col(reason)))
-    return keyed.withWatermark(time, "1 day").dropDuplicatesWithinWatermark(["failure_key"])
+    return keyed.dropDuplicates(["failure_key"])

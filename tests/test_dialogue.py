@@ -25,8 +25,19 @@ def test_fact_conflict(spark):
     assert latest["chosen"]["value"] == "b"
 
 
-def fold(messages):
-    """Plain sequential memory of one conversation."""
+def streamed(spark, parts, tmp_path, name):
+    """Feed the parts one after the other, restarting the stream for each, and read what was written."""
+    source = tmp_path / "in"
+    schema = "conv_id long, turn long, role string, text string"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        ingest.run_to_table(conversation.conversation_memory(stream), str(tmp_path / "out"), name).awaitTermination()
+    return spark.read.schema(conversation.OUTPUT).parquet(str(tmp_path / "out")).orderBy("conv_id", "turn").collect()
+
+
+def window_after(messages):
+    """Plain short-term memory of one conversation whose summary changes at every trigger."""
     window, out = [], []
     for role, tokens in messages:
         window.append((role, tokens))
@@ -45,21 +56,59 @@ def fold(messages):
 
 def test_streaming_memory_equals_fold(spark, tmp_path):
     rng = random.Random(2)
-    source, rows = tmp_path / "in", []
+    rows = []
     for conv in range(4):
-        for turn in range(30):
-            rows.append((conv, turn, "user" if turn % 2 == 0 else "assistant", "x" * rng.randrange(0, 500)))
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    # Two files out of order: the later turns come first.
-    df.filter("turn >= 15").coalesce(1).write.mode("append").parquet(str(source))
-    df.filter("turn < 15").coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    ingest.run_to_table(conversation.conversation_memory(stream), str(tmp_path / "out"), f"t{rng.random()}").awaitTermination()
-    got = spark.read.schema(conversation.OUTPUT).parquet(str(tmp_path / "out")).orderBy("conv_id", "turn").collect()
+        for turn in range(conv, 30 + conv):
+            if conv == 3 and turn in (9, 10, 17):
+                continue
+            text = "x" * rng.randrange(0, 400) + rng.choice(["", f" 金额{turn % 5}万元", f" 20{turn:02d}年3月", " 甲公司违约"])
+            if turn % 2 == 0:
+                text += f" 问题{turn}？"
+            rows.append((conv, turn, "user" if turn % 2 == 0 else "assistant", text))
+    parts = [[r for r in rows if r[1] < 11], [r for r in rows if 11 <= r[1] < 18], [r for r in rows if r[1] >= 18]]
+    got = streamed(spark, parts, tmp_path, f"t{rng.random()}")
+    assert [(r["conv_id"], r["turn"]) for r in got] == sorted((r[0], r[1]) for r in rows)
+    assert not any(r["late"] for r in got)
     expected = []
     for conv in range(4):
-        expected += fold([(r[2], 0 if not r[3] else max(1, int(len(r[3]) * 0.6))) for r in rows if r[0] == conv])
+        expected += window_after([(r[2], 0 if not r[3] else max(1, int(len(r[3]) * 0.6))) for r in rows if r[0] == conv])
     assert [(r["message_count"], r["user_turns"], r["tokens"], r["trigger"]) for r in got] == expected
+    batch = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    facts = {(r["conv_id"], r["key"]): r for r in memory.fold_facts(batch).collect()}
+    for r in [r for i, r in enumerate(got) if i + 1 == len(got) or got[i + 1]["conv_id"] != r["conv_id"]]:
+        for key in ("amount", "time"):
+            assert r[key] == (facts[r["conv_id"], key]["value"] if (r["conv_id"], key) in facts else None)
+        assert r["conflicts"] == sum(len(f["events"]) for (c, _), f in facts.items() if c == r["conv_id"])
+
+
+def test_streaming_memory_shrinks_only_for_a_new_summary(spark, tmp_path):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "同样的话") for t in range(24)]
+    got = streamed(spark, [rows], tmp_path, f"s{random.random()}")
+    assert [r["turn"] for r in got if r["trigger"] == "turn_threshold"] == list(range(11, 24, 2))
+    assert [r["turn"] for r in got if r["summary_updated"]] == [11]
+    assert got[-1]["message_count"] == 24
+
+
+def test_late_messages_are_passed_on(spark, tmp_path):
+    early, late = [(1, 4, "user", "5万元"), (1, 5, "assistant", "好")], [(1, 2, "user", "9万元"), (1, 6, "user", "再问？")]
+    got = streamed(spark, [early, late], tmp_path, f"l{random.random()}")
+    assert [(r["turn"], r["late"], r["amount"], r["late_count"]) for r in got] == [
+        (2, True, "5万元", 1), (4, False, "5万元", 0), (5, False, "5万元", 0), (6, False, "5万元", 1),
+    ]
+
+
+def test_fact_fold_keeps_the_value_so_far(spark):
+    rows = [
+        (1, 0, "user", "租赁 甲公司 违约 5万元"), (1, 1, "assistant", "3万元"), (1, 2, "user", "3万元"), (1, 4, "user", "租赁 违约 甲公司 7万元"),
+        (2, 0, "user", "2020年3月"), (2, 2, "user", "2020年3月 违约"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = {(r["conv_id"], r["key"]): r for r in memory.fold_facts(frame).collect()}
+    log = [(e["at"], e["old_value"], e["new_value"], e["chosen_value"]) for e in made[1, "amount"]["events"]]
+    assert log == [(1, "5万元", "3万元", "5万元"), (2, "5万元", "3万元", "5万元"), (4, "5万元", "7万元", "7万元")]
+    assert made[2, "time"]["events"] == [] and made[2, "time"]["turn"] == 2
+    latest = {(r["conv_id"], r["key"]): r["value"] for r in memory.fold_facts(frame, "latest_wins").collect()}
+    assert latest[1, "amount"] == "7万元"
 
 
 def test_document_stream_chunks(spark, tmp_path):
