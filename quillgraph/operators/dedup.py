@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from quillgraph.functions import fixed_values as fv
 from quillgraph.functions import text as tx
-from quillgraph.operators.skew import broadcast_if_small, hot_limit, lookup_unique
+from quillgraph.operators.skew import hot_limit, lookup_unique
 from quillgraph.operators.substring_join import contained_pairs
 from quillgraph.session import compute_once, cut_lineage, explode_rows
 
@@ -35,7 +35,7 @@ def first_by_key(rows: DataFrame, key: Column, order: str) -> DataFrame:
     firsts = slim.groupBy("__k").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     repeated = lookup_unique(slim, firsts, "__k", "__n", hot=hot_limit(slim, "__k"))
     dropped = repeated.filter(F.col(order) > F.col("__first")).select(order)
-    return rows.join(broadcast_if_small(cut_lineage(dropped)), order, "left_anti")
+    return rows.join(cut_lineage(dropped), order, "left_anti")
 
 
 # --- several keys, any of which makes a duplicate --------------------------------------
@@ -84,7 +84,7 @@ def greedy_by_keys(rows: DataFrame, order: str, keys: dict[str, Column]) -> Data
         .agg(F.min("t").alias("t"))
         .select(order, F.get(F.array(*[F.lit(n) for n in names]), F.col("t")).alias("reason"))
     )
-    return rows.join(broadcast_if_small(cut_lineage(reasons)), order, "left")
+    return rows.join(cut_lineage(reasons), order, "left")
 
 
 def _columns_of(rows: DataFrame, order: str) -> list[str]:
@@ -324,7 +324,7 @@ def dedup_faqs(
             F.when(F.col("exact"), "duplicate_question_exact").otherwise("duplicate_question_near").alias("reason"),
         )
     )
-    return rows.join(broadcast_if_small(cut_lineage(removed)), order, "left")
+    return rows.join(cut_lineage(removed), order, "left")
 
 
 def removal_counts(decided: DataFrame) -> DataFrame:

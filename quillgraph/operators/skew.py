@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 HOT_GROUP_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side keeps the shuffle join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def lookup_unique(
     rows: DataFrame, table: DataFrame, key: str, group_size: str, how: str = "inner", hot: int | None = HOT_GROUP_ROWS
 ) -> DataFrame:
@@ -23,7 +15,7 @@ def lookup_unique(
 
     ``group_size`` is the table column with the number of rows per key.  Keys
     above ``hot`` never enter the shuffle: there are at most rows/hot of them,
-    so that part of the table is broadcast and their rows stay where they are.
+    so the planner can send that part of the table to the rows.
     ``hot=None`` states that no key is hot (see ``hot_limit``).
     """
     if hot is None:
@@ -31,7 +23,6 @@ def lookup_unique(
     hot_table = table.filter(F.col(group_size) > hot)
     if hot_table.isEmpty():
         return rows.join(table.drop(group_size), key, how)
-    hot_table = broadcast_if_small(hot_table)
     hot_rows = rows.join(hot_table.drop(group_size), key, "inner")
     cold_rows = rows.join(hot_table.select(key), key, "left_anti")
     cold_table = table.filter(F.col(group_size) <= hot).drop(group_size)

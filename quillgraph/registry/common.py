@@ -162,28 +162,28 @@ cases AS (
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """One question per user message: a stem chosen by position, then the message."""
+    """One question per user message: a stem chosen by position, then the message.
+
+    Every fourth conversation asks each stem again on its own, later, so that short questions occur.
+    """
     n = F.col("conv_id") * 5 + F.col("turn") / 2
-    return (
-        spread(table(spark, sf, "conversations"))
-        .filter(F.col("role") == "user")
-        .select(
-            "conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
-            F.when(
-                F.col("conv_id") % 4 == 3, pick(QUESTION_STEMS, F.floor(n))
-            ).otherwise(F.concat(pick(QUESTION_STEMS, F.floor(n)), F.lit(" "), F.col("text"))).alias("query"),
-            "text",
-        )
+    stem = pick(QUESTION_STEMS, F.floor(n))
+    said = spread(table(spark, sf, "conversations")).filter(F.col("role") == "user").select(
+        "conv_id", "turn", stem.alias("stem"), "text"
     )
+    whole = said.select("conv_id", "turn", F.concat("stem", F.lit(" "), "text").alias("query"), "text")
+    short = said.filter(F.col("conv_id") % 4 == 3).select("conv_id", (F.col("turn") + 1000).alias("turn"), F.col("stem").alias("query"), "text")
+    return whole.unionByName(short).select("conv_id", "turn", (F.col("conv_id") * 10000 + F.col("turn")).alias("qid"), "query", "text")
 
 
 _N = "CAST(floor(conv_id * 5 + turn / 2) AS BIGINT)"
 QUESTIONS_SQL = f"""
 questions AS (
-  SELECT conv_id, turn, conv_id * 1000 + turn AS qid,
-         CASE WHEN conv_id % 4 = 3 THEN {sql_pick(QUESTION_STEMS, _N)}
-              ELSE {sql_pick(QUESTION_STEMS, _N)} || ' ' || text END AS query, text
-  FROM conversations WHERE role = 'user')
+  SELECT conv_id, turn, conv_id * 10000 + turn AS qid, {sql_pick(QUESTION_STEMS, _N)} || ' ' || text AS query, text
+  FROM conversations WHERE role = 'user'
+  UNION ALL
+  SELECT conv_id, turn + 1000, conv_id * 10000 + turn + 1000, {sql_pick(QUESTION_STEMS, _N)}, text
+  FROM conversations WHERE role = 'user' AND conv_id % 4 = 3)
 """
 
 

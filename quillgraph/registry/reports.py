@@ -12,7 +12,6 @@ from quillgraph.functions import fixed_values as fv
 from quillgraph.functions import ids, rules
 from quillgraph.functions import text as tx
 from quillgraph.operators import evaluation, feedback
-from quillgraph.operators.skew import broadcast_if_small
 from quillgraph.registry.common import (
     QUESTION_STEMS, pick, registry, sql_contains_any, sql_first_value, sql_list, sql_pick, sql_text, table,
 )
@@ -26,10 +25,11 @@ ERRORS = ["none", "rewrite_error", "retrieval_error", "ranking_error", "answer_h
 
 
 def results(spark, sf):
-    """One evaluation row per labelled document."""
+    """One evaluation row per document; one without a label counts as good and harmless."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     d, n = F.col("doc_id"), F.col("n_chars")
-    return docs.select("doc_id", "n_chars", "lang").join(labels, "doc_id").select(
+    joined = docs.select("doc_id", "n_chars", "lang").join(labels, "doc_id", "left")
+    return joined.fillna({"quality": 1, "toxic": 0}).select(
         d.alias("id"),
         pick(QTYPES, d).alias("question_type"),
         pick(STYPES, d).alias("source_type"),
@@ -47,10 +47,10 @@ def results(spark, sf):
     )
 
 
-_R = f"""results AS (SELECT doc_id AS id, {sql_pick(QTYPES, 'doc_id')} AS question_type, {sql_pick(STYPES, 'doc_id')} AS source_type, toxic = 1 AS requires_multiturn,
-  quality::DOUBLE AS evidence_path_hit_rate, (n_chars % 11) / 10.0::DOUBLE AS answer_keyword_match_rate, (n_chars % 7) / 7.0::DOUBLE AS citation_correctness, (n_chars % 5) / 5.0::DOUBLE AS citation_coverage,
+_R = f"""results AS (SELECT doc_id AS id, {sql_pick(QTYPES, 'doc_id')} AS question_type, {sql_pick(STYPES, 'doc_id')} AS source_type, coalesce(toxic, 0) = 1 AS requires_multiturn,
+  coalesce(quality, 1)::DOUBLE AS evidence_path_hit_rate, (n_chars % 11) / 10.0::DOUBLE AS answer_keyword_match_rate, (n_chars % 7) / 7.0::DOUBLE AS citation_correctness, (n_chars % 5) / 5.0::DOUBLE AS citation_coverage,
   (n_chars % 13) / 13.0::DOUBLE AS grounding_score, n_chars / 1000.0::DOUBLE AS latency, {sql_pick(STRATEGIES, 'doc_id')} AS expected, {sql_pick(STRATEGIES[:3], 'n_chars')} AS actual,
-  {sql_pick(ERRORS, 'n_chars')} AS primary_error_type, quality = 0 AS reflection_triggered FROM documents JOIN labels USING (doc_id))"""
+  {sql_pick(ERRORS, 'n_chars')} AS primary_error_type, coalesce(quality, 1) = 0 AS reflection_triggered FROM documents LEFT JOIN labels USING (doc_id))"""
 _AVG = """count(*) AS sample_count, round(coalesce(avg(evidence_path_hit_rate), 0), 6) AS retrieval_hit_rate, round(coalesce(avg(answer_keyword_match_rate), 0), 6) AS answer_relevance,
  round(coalesce(avg(citation_correctness), 0), 6) AS citation_correctness, round(coalesce(avg(citation_coverage), 0), 6) AS citation_coverage, round(coalesce(avg(grounding_score), 0), 6) AS grounding_score, round(coalesce(avg(latency), 0), 6) AS average_latency"""
 
@@ -184,14 +184,13 @@ def metric_keyword_match(spark, sf):
     SELECT conv_id, round(len(list_filter(cited, lambda x: list_contains(ids, x))) / len(cited), 8) AS rate FROM c JOIN e USING (conv_id)""",
 )
 def metric_citation_correctness(spark, sf):
-    """Counts instead of collected lists: citations semi-joined with evidence ids."""
-    rows = table(spark, sf, "conversations")
-    evidence = rows.select("conv_id", F.concat("role", (F.col("turn") % 2).cast("string")).alias("id")).distinct()
-    cited = rows.groupBy("conv_id", F.concat("role", (F.col("turn") % 3).cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    marked = cited.join(evidence.withColumn("hit", F.lit(1)), ["conv_id", "id"], "left")
-    return marked.groupBy("conv_id").agg(
-        F.round(F.sum(F.col("n") * F.coalesce("hit", F.lit(0))) / F.sum("n"), 8).alias("rate")
+    """Cited ids of a conversation against its evidence ids, through the operator."""
+    cited = F.concat("role", (F.col("turn") % 3).cast("string"))
+    known = F.concat("role", (F.col("turn") % 2).cast("string"))
+    lists = table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.collect_list(cited).alias("cited"), F.collect_set(known).alias("ids")
     )
+    return lists.select("conv_id", F.round(evaluation.citation_correctness(F.col("cited"), F.col("ids")), 8).alias("rate"))
 
 
 _BENCH = ["法条定位类", "案例支撑类", "FAQ", "其他", "multiturn"]
@@ -345,7 +344,7 @@ def action_status(spark, sf):
         k.alias("suggestion_id"), F.when(k % 2 == 0, "In_Progress ").when(k % 3 == 0, "closed").otherwise("odd").alias("status")
     )
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("suggestion_id"), F.lit("open").alias("status"))
-    return feedback.apply_status(rows, broadcast_if_small(stored)).select("o_orderkey", "status")
+    return feedback.apply_status(rows, stored).select("o_orderkey", "status")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import fixed_values as fv
@@ -13,8 +14,8 @@ from quillgraph.operators import (
 )
 from quillgraph.plans import answering
 from quillgraph.registry.common import (
-    CASES_SQL, COURTS, QUESTIONS_SQL, cases, documents, questions, registry, sql_bucket, sql_clean,
-    sql_clean_join, sql_contains_any, sql_first_value, sql_list, sql_sentences, sql_strip, sql_text, sql_words, table,
+    CASES_SQL, COURTS, QUESTIONS_SQL, cases, documents, pick, questions, registry, sql_bucket, sql_clean,
+    sql_clean_join, sql_contains_any, sql_first_value, sql_list, sql_ordered_distinct, sql_sentences, sql_strip, sql_text, sql_words, table,
 )
 from quillgraph.session import compute_once, cut_lineage
 
@@ -111,6 +112,10 @@ def graph_linked_edges(spark, sf):
     return built.edges.select("source", "target", "relation", F.md5("evidence").alias("evidence"))
 
 
+# Names that do merge: four spellings of a company, and charges with and without their suffix.
+_SPELLED = """spelled AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 4 THEN (['盗窃', '盗窃罪'])[1 + (c_custkey // 5) % 2]
+    ELSE (['Acme', 'ACME', 'The Acme', 'acme'])[1 + c_custkey % 4] || ' ' || (c_custkey // 40)::VARCHAR || (['', ' Corp', ' Inc.', ' Corporation'])[1 + c_custkey % 4] END AS name,
+  (['PARTY', 'LEGAL_CONCEPT'])[1 + c_custkey % 2] AS entity_type FROM customer)"""
 _ALIAS_CASE = f"CASE {' '.join(f'WHEN n = {sql_text(k)} THEN {sql_text(v)}' for k, v in fv.NODE_ALIASES.items())} ELSE n END"
 _CANON = "trim(regexp_replace(lower(a), '[^a-z0-9\\x{4e00}-\\x{9fff} ]+', '', 'g'))"
 _KEPT = "list_filter(string_split_regex(c, ' +'), lambda t: t <> '' AND t NOT IN ('the', 'inc', 'corp', 'corporation', 'llc'))"
@@ -139,6 +144,56 @@ def graph_canonical_names(spark, sf):
     return names.select("k", graph.canonical_key(F.col("n")).alias("canonical"))
 
 
+_LINKED = f"""{_SPELLED}, al AS (SELECT *, {_ALIAS_CASE.replace(' n = ', ' name = ').replace('ELSE n END', 'ELSE name END')} AS a FROM spelled), cl AS (SELECT *, {_CANON} AS c FROM al),
+ky AS (SELECT *, CASE WHEN len({_KEPT}) > 0 THEN array_to_string({_KEPT}, ' ') ELSE c END AS canon FROM cl),
+gr AS (SELECT entity_type, canon, min(k) AS first, arg_min(a, k) AS name, count(*) AS n FROM ky GROUP BY 1, 2),
+lk AS (SELECT ky.*, gr.first, gr.name AS linked_name FROM ky JOIN gr USING (entity_type, canon))"""
+
+
+def _spelled_nodes(spark, sf):
+    k = F.col("c_custkey")
+    company = F.concat(
+        pick(["Acme", "ACME", "The Acme", "acme"], k), F.lit(" "), F.floor(k / 40).cast("string"),
+        pick(["", " Corp", " Inc.", " Corporation"], k),
+    )
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("n::"), k.cast("string")).alias("node_id"),
+        F.when(k % 5 == 4, pick(["盗窃", "盗窃罪"], F.floor(k / 5))).otherwise(company).alias("name"),
+        pick(["PARTY", "LEGAL_CONCEPT"], k).alias("entity_type"), k.cast("string").alias("first_doc_id"),
+        F.lit(1).cast("long").alias("n_mentions"), k.alias("ord"),
+    )
+
+
+@query("graph_linked_nodes", f"WITH {_LINKED} SELECT 'n::' || first::VARCHAR AS node_id, name, entity_type, n AS n_mentions FROM gr")
+def graph_linked_nodes(spark, sf):
+    linked, _, _ = graph.link_nodes(_spelled_nodes(spark, sf))
+    return linked.select("node_id", "name", "entity_type", "n_mentions")
+
+
+@query("graph_aliases", f"WITH {_LINKED} SELECT DISTINCT 'n::' || first::VARCHAR AS node_id, a AS alias FROM lk WHERE a <> linked_name")
+def graph_aliases(spark, sf):
+    _, _, aliases = graph.link_nodes(_spelled_nodes(spark, sf))
+    return aliases.select("node_id", "alias")
+
+
+@query(
+    "graph_relinked_edges",
+    f"""WITH {_LINKED} SELECT DISTINCT 'n::' || a.first::VARCHAR AS source, 'n::' || b.first::VARCHAR AS target, 'R' || (a.k % 2)::VARCHAR AS relation, 'e' || (a.k % 3)::VARCHAR AS evidence
+    FROM lk a JOIN lk b ON b.k = a.k + 41""",
+)
+def graph_relinked_edges(spark, sf):
+    """Edges whose end points were merged."""
+    nodes = _spelled_nodes(spark, sf)
+    _, id_map, _ = graph.link_nodes(nodes)
+    k = F.col("ord")
+    edges = nodes.select(
+        F.col("node_id").alias("source"), F.concat(F.lit("n::"), (k + 41).cast("string")).alias("target"),
+        F.concat(F.lit("R"), (k % 2).cast("string")).alias("relation"), F.lit(1.0).alias("weight"),
+        F.concat(F.lit("e"), (k % 3).cast("string")).alias("evidence"), k.alias("ord"),
+    ).join(nodes.select(F.col("node_id").alias("target")), "target", "left_semi")
+    return graph.link_edges(edges, id_map).select("source", "target", "relation", "evidence")
+
+
 @query(
     "graph_find_nodes",
     """WITH labels AS (SELECT c_custkey AS id, lower(c_name) AS l FROM customer UNION ALL SELECT 1000000000 + p_partkey, lower(p_name) FROM part),
@@ -441,6 +496,41 @@ def citation_summary(spark, sf):
     return out.select("source", "citations_count", F.array_join("major_laws", ",").alias("laws"), F.array_join("major_cases", ",").alias("cases"))
 
 
+_QSRC = f"{QUESTIONS_SQL}, src AS (SELECT qid::VARCHAR AS doc_id, query AS content FROM questions)"
+
+
+@query("answer_targets", f"WITH {_QSRC}, {_MENTIONS} SELECT CAST(doc_id AS BIGINT) AS qid, array_to_string(list_sort(list(DISTINCT name)), '|') AS targets FROM mentions GROUP BY doc_id")
+def answer_targets(spark, sf):
+    """Distinct entity names each question asks about."""
+    found = answering.target_entities(questions(spark, sf).select("qid", "query"), "qid")
+    return found.select("qid", F.array_join(F.array_sort("targets"), "|").alias("targets"))
+
+
+_HINTS = f"list_filter({sql_list(fv.EVIDENCE_ENTITY_HINTS)}, lambda h: contains(content, h))"
+
+
+@query(
+    "answer_linked_entities",
+    f"""WITH {CASES_SQL}, ev AS (SELECT *, ord % 7 AS qid, 1000 + row_number() OVER (PARTITION BY ord % 7 ORDER BY ord) AS o FROM cases),
+    f AS (SELECT qid, o, list_filter(list_concat(['民法典', '第' || (ord % 9)::VARCHAR || '条', doc_id, title], regexp_extract_all(content, {sql_text(fv.EVIDENCE_ENTITY_PATTERN)}, 1), {_HINTS}), lambda v: v <> '') AS v
+      FROM ev QUALIFY row_number() OVER (PARTITION BY qid ORDER BY o) <= 40),
+    l AS (SELECT qid, flatten(list(v ORDER BY o)) AS v FROM f GROUP BY qid)
+    SELECT qid, array_to_string({sql_ordered_distinct('v')}[1:24], '|') AS linked FROM l""",
+)
+def answer_linked_entities(spark, sf):
+    """Entities of questions that have text evidence only; its positions start beyond 1000, as in the plan."""
+    qid = F.col("ord") % 7
+    order = Window.partitionBy(qid).orderBy("ord")
+    evidence = cases(spark, sf).select(
+        qid.alias("qid"), (F.lit(1000) + F.row_number().over(order)).alias("o"), F.lit("民法典").alias("law_name"),
+        F.concat(F.lit("第"), (F.col("ord") % 9).cast("string"), F.lit("条")).alias("article_no"), F.col("doc_id").alias("case_id"),
+        "title", F.lit("").alias("source_name"), F.lit("").alias("target_name"), F.lit("").alias("section"), F.col("content").alias("text"),
+    )
+    nodes = spark.createDataFrame([], "qid bigint, node_rank int, name string")
+    linked = answering.linked_entities(nodes, answering.first_candidates(evidence, "qid", "o"), "qid")
+    return linked.select("qid", F.array_join("linked", "|").alias("linked"))
+
+
 @query("answers")
 def answers(spark, sf):
     """Whole question-answering plan over documents: routed, retrieved, ranked, grounded."""
