@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions import vectors
 from quillgraph.operators import evaluation, feedback
 from quillgraph.plans.answering import Graph, answer_questions
 from quillgraph.session import cut_lineage
@@ -19,13 +21,27 @@ def score_answers(samples: DataFrame, answers: DataFrame) -> DataFrame:
     ``answer_questions`` keyed by ``id``.
     """
     rows = samples.join(answers.drop("query", "question_type"), "id")
+    rows = vectors.with_text_cosine(rows, "query", "rewritten_query", "__drift")
     empty = F.array().cast("array<string>")
-    answer = F.concat_ws(" ", "short_answer", "reasoning_summary", "uncertainty_note")
+    said = F.concat_ws(" ", "short_answer", "reasoning_summary")
+    answer = F.concat_ws(" ", said, "uncertainty_note")
+    kind = "array<struct<evidence_id:string,snippet:string,title:string,law_name:string,article_no:string>>"
+    items = F.coalesce(
+        F.transform("citations", lambda c: F.struct(*[c[n].alias(n) for n in ("evidence_id", "snippet", "title", "law_name", "article_no")])).cast(kind),
+        F.array().cast(kind),
+    )
+    citations = F.transform(
+        items,
+        lambda c: F.struct(
+            c["evidence_id"].alias("id"), F.concat_ws(" ", c["snippet"], c["title"], c["law_name"], c["article_no"]).alias("blob")
+        ),
+    )
+    claims = F.coalesce("claims", F.array().cast("array<struct<claim:string,ids:array<string>>>"))
     expected = F.coalesce("expected_entities", empty)
     triggered = ~F.col("rewrite_method").isin("skip")
     multi = evaluation.multiturn_metrics(
-        F.coalesce("requires_multiturn", F.lit(False)), expected, F.col("query"), F.col("rewritten_query"), answer, triggered,
-        F.lit(1.0),
+        F.coalesce("requires_multiturn", F.lit(False)), expected, F.col("query"), F.col("rewritten_query"), said, triggered,
+        F.coalesce("__drift", F.lit(0.0)),
     )
     scored = rows.withColumns(
         {
@@ -37,16 +53,18 @@ def score_answers(samples: DataFrame, answers: DataFrame) -> DataFrame:
                 F.coalesce("expected_answer_keywords", empty), answer
             ),
             "citation_correctness": evaluation.citation_correctness(F.col("cited_ids"), F.col("candidate_ids")),
-            "reflection_triggered": F.col("decision") != "pass",
+            "citation_coverage": evaluation.citation_coverage(claims, citations, F.col("grounded_evidence")),
+            "reflection_triggered": F.col("decision").isin("re-retrieve", "re-reason"),
+            "candidate_evidence_count": F.size("candidate_ids"),
             "actual_retrieval_strategy": F.col("retrieval_strategy"),
             "__m": multi,
         }
     )
     metric_names = ["context_resolution_accuracy", "rewrite_trigger_accuracy", "rewritten_query_quality"]
-    scored = scored.withColumns({n: F.col(f"__m.{n}") for n in metric_names}).drop("__m")
+    scored = scored.withColumns({n: F.col(f"__m.{n}") for n in metric_names}).drop("__m", "__drift")
     inputs = {
         "requires_multiturn": F.coalesce("requires_multiturn", F.lit(False)), "rewrite_triggered": triggered,
-        "need_rewrite": triggered, "expected_entities": expected, "rewritten_query": F.col("rewritten_query"),
+        "need_rewrite": F.col("need_rewrite"), "expected_entities": expected, "rewritten_query": F.col("rewritten_query"),
         "expected_ids": F.coalesce("expected_evidence_ids", empty), "candidate_ids": F.col("candidate_ids"),
         "ranked_ids": F.col("ranked_ids"), "candidate_count": F.size("candidate_ids"), "ranked_count": F.col("ranked_count"),
         "evidence_path_hit_rate": F.col("evidence_path_hit_rate"), "linked_count": F.size("linked"),
@@ -72,8 +90,11 @@ class Report:
 
 def run(samples: DataFrame, chunks: DataFrame, kg: Graph | None = None) -> Report:
     """Answer, score and summarise; the results are written once and shared by all tables."""
+    begun = time.perf_counter()
     answers = answer_questions(samples.select("id", "query"), "id", chunks, kg)
-    results = cut_lineage(score_answers(samples, answers))
+    scored = cut_lineage(score_answers(samples, answers))
+    # One plan answers all questions, so each has its share of the time.
+    results = scored.withColumn("latency", F.lit((time.perf_counter() - begun) / max(1, scored.count())))
     drift, _ = evaluation.strategy_drift(results)
     return Report(
         results,
