@@ -253,12 +253,12 @@ def bm25_corpus_statistics(spark, sf):
     return bm25.corpus_statistics(documents(spark, sf)).withColumn("avgdl", F.round("avgdl", 6))
 
 
-def _bm25_sql(queries: str, qid: str, text: str, k: int) -> str:
+def _bm25_sql(queries: str, qid: str, text: str, k: int, digits: int = 5) -> str:
     return f"""qt AS (SELECT {qid}, term, count(*) AS qtf FROM (SELECT {qid}, unnest({sql_words(text)}) AS term FROM {queries}) GROUP BY 1, 2),
     sc AS (SELECT qt.{qid}, tf.doc_id, round(sum(qtf * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(1, dl) / avgdl))), 8) AS score
       FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY 1, 2),
     rk AS (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
-    SELECT {qid}, doc_id, rank, round(score, 5) AS score FROM rk WHERE rank <= {k}"""
+    SELECT {qid}, doc_id, rank, round(score, {digits}) AS score FROM rk WHERE rank <= {k}"""
 
 
 @query("bm25_topk", f"WITH {_BM}, {_bm25_sql('benchmark', 'item_id', 'text', 10)}")
@@ -269,6 +269,19 @@ def bm25_topk(spark, sf):
     return hits.select("item_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
+@query("bm25_topk_many", f"WITH {_BM}, asked AS (SELECT user_id * 100000 + event_id AS eid, event_type || ' ' || substr(text, 1, 40) AS text FROM events JOIN documents ON doc_id = event_id % 1000 WHERE event_type = 'purchase'), {_bm25_sql('asked', 'eid', 'text', 3, 3)}")
+def bm25_topk_many(spark, sf):
+    """More queries than one block holds: one for every purchase event."""
+    docs = table(spark, sf, "documents")
+    bought = table(spark, sf, "events").filter("event_type = 'purchase'")
+    asked = bought.join(docs.select("doc_id", "text"), F.col("doc_id") == F.col("event_id") % 1000).select(
+        (F.col("user_id") * 100000 + F.col("event_id")).alias("eid"),
+        F.concat("event_type", F.lit(" "), F.substring("text", 1, 40)).alias("query"),
+    )
+    hits = bm25.search(docs, asked, "doc_id", "eid", 3)
+    return hits.select("eid", "doc_id", "rank", F.round("score", 3).alias("score"))
+
+
 # --- vectors -------------------------------------------------------------------------------
 @query(
     "vector_topk",
