@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,11 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a lambda's own variable is not inlined."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def explode_rows(df: DataFrame, array: Column, name: str, position: str | None = None) -> DataFrame:
     """Explode without the size filter the optimizer would push into the scan side."""
     if position is None:
