@@ -409,10 +409,14 @@ def evidence_rerank(spark, sf):
 
 
 _CLAIM = f"""{_RERANK},
-cl2 AS (SELECT item_id, unnest(list_filter(list_transform(string_split_regex(text, '[。！？!?；;]|以及|并且|且|同时'), lambda s: {sql_strip('s')}), lambda s: s <> '')[1:4]) AS claim FROM benchmark),
-cp AS (SELECT item_id, claim, rank, chunk_id, len(list_intersect(list_distinct({sql_words('claim')}), list_distinct({sql_words('text')}))) / greatest(1, len(list_distinct({sql_words('claim')}))) AS overlap
-  FROM cl2 JOIN top USING (item_id)),
-cr AS (SELECT *, row_number() OVER (PARTITION BY item_id, claim ORDER BY overlap DESC, rank) AS n FROM cp)"""
+cl2 AS (SELECT DISTINCT item_id, unnest(list_filter(list_transform(string_split_regex(text, '[。！？!?；;]|以及|并且|且|同时'), lambda s: {sql_strip('s')}), lambda s: s <> '')[1:4]) AS claim FROM benchmark),
+clb AS (SELECT item_id, claim, b, count(*)::DOUBLE AS c FROM (SELECT item_id, claim, {sql_bucket('w')} AS b FROM (SELECT item_id, claim, unnest({sql_words('claim')}) AS w FROM cl2)) GROUP BY 1, 2, 3),
+cln AS (SELECT item_id, claim, sqrt(sum(c * c)) AS n FROM clb GROUP BY 1, 2),
+ccs AS (SELECT item_id, claim, chunk_id, sum(clb.c * cb.c) AS dot FROM clb JOIN top USING (item_id) JOIN cb USING (chunk_id, b) GROUP BY 1, 2, 3),
+cp AS (SELECT item_id, claim, rank, chunk_id, len(list_intersect(list_distinct({sql_words('claim')}), list_distinct({sql_words('text')}))) / greatest(1, len(list_distinct({sql_words('claim')}))) AS overlap,
+    CASE WHEN cln.n > 0 AND cn.n > 0 THEN greatest(0.0, least(1.0, (coalesce(dot, 0.0) / (cln.n * cn.n) + 1.0) / 2.0)) ELSE 0.0 END AS close
+  FROM cl2 JOIN top USING (item_id) LEFT JOIN ccs USING (item_id, claim, chunk_id) LEFT JOIN cln USING (item_id, claim) LEFT JOIN cn USING (chunk_id)),
+cr AS (SELECT *, 0.55 * overlap + 0.45 * close AS support, row_number() OVER (PARTITION BY item_id, claim ORDER BY round(0.55 * overlap + 0.45 * close, 10) DESC, rank) AS n FROM cp)"""
 
 
 def _claims(spark, sf):
@@ -422,13 +426,13 @@ def _claims(spark, sf):
         "item_id", "query", F.col("query").alias("conclusion"), F.array().cast("array<string>").alias("steps")
     )
     claims = grounding.claim_rows(traces, "item_id")
-    return grounding.map_claims(claims, evidence, "item_id", semantic=False), evidence
+    return grounding.map_claims(claims, evidence, "item_id"), evidence
 
 
 @query(
     "claim_support",
-    f"""WITH {_CLAIM} SELECT item_id, md5(claim) AS claim, array_to_string(coalesce(list(chunk_id ORDER BY n) FILTER (WHERE 0.55 * overlap > 0.03), []), ',') AS support,
-    CASE WHEN count(*) FILTER (WHERE 0.55 * overlap > 0.03) = 0 THEN 'unsupported' WHEN count(*) FILTER (WHERE 0.55 * overlap > 0.03) < 2 THEN 'weakly_supported' ELSE 'supported' END AS support_level
+    f"""WITH {_CLAIM} SELECT item_id, md5(claim) AS claim, array_to_string(coalesce(list(chunk_id ORDER BY n) FILTER (WHERE support > 0.03), []), ',') AS support,
+    CASE WHEN count(*) FILTER (WHERE support > 0.03) = 0 THEN 'unsupported' WHEN count(*) FILTER (WHERE support > 0.03) < 2 THEN 'weakly_supported' ELSE 'supported' END AS support_level
     FROM cr WHERE n <= 3 GROUP BY 1, claim""",
 )
 def claim_support(spark, sf):
@@ -438,12 +442,12 @@ def claim_support(spark, sf):
 
 @query(
     "grounding_score",
-    f"""WITH {_CLAIM}, best AS (SELECT item_id, claim, max(0.5 * overlap) AS s FROM cr WHERE n <= 3 AND 0.55 * overlap > 0.03 GROUP BY 1, 2)
+    f"""WITH {_CLAIM}, best AS (SELECT item_id, claim, max(0.5 * overlap + 0.5 * close) AS s FROM cr WHERE n <= 3 AND support > 0.03 GROUP BY 1, 2)
     SELECT item_id, round(avg(s), 4) AS grounding_score, count(*) FILTER (WHERE s < 0.08) AS unsupported_claim_count, avg(s) >= 0.12 AND count(*) FILTER (WHERE s < 0.08) = 0 AS grounded FROM best GROUP BY 1""",
 )
 def grounding_score(spark, sf):
     mapped, evidence = _claims(spark, sf)
-    out = grounding.grounding(grounding.claim_grounding(mapped, evidence, "item_id", semantic=False), "item_id")
+    out = grounding.grounding(grounding.claim_grounding(mapped, evidence, "item_id"), "item_id")
     return out
 
 
