@@ -26,7 +26,7 @@ UNDETERMINED = "und"
 
 CHUNK_CHARS = 1 << 20
 BUNDLED_DOCS = 64
-CACHED_GRAMS = 24_000
+CACHED_GRAMS = 12_000
 
 
 class Profiler:
@@ -114,9 +114,9 @@ class Profiler:
         vectors = np.zeros((len(texts), self.dimensions), np.float32)
         for at in range(0, len(texts), BUNDLED_DOCS):
             grams, counts = self._counts(texts[at : at + BUNDLED_DOCS])
-            for part in range(0, len(grams), 4096):
-                made = self._vectors(grams[part : part + 4096]).astype(np.float32)
-                vectors[at : at + BUNDLED_DOCS] += counts[:, part : part + 4096] @ made
+            for part in range(0, len(grams), 2048):
+                made = self._vectors(grams[part : part + 2048]).astype(np.float32)
+                vectors[at : at + BUNDLED_DOCS] += counts[:, part : part + 2048] @ made
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         return vectors / np.where(norms == 0, 1, norms)
 
@@ -177,9 +177,13 @@ def learn_prototypes(
 
 
 def identify(
-    documents: DataFrame, prototypes: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame,
+    prototypes: dict[str, np.ndarray],
+    doc_id: str = "doc_id",
+    text: str = "text",
+    with_text: bool = False,
 ) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row, from its text alone.
+    """``doc_id, lang_pred, score`` (and the text, if ``with_text``) of every row, from its text alone.
 
     ``score`` is the cosine with the predicted language's prototype, not below
     0.  A text that is null, empty or without a letter is ``und`` with score 0,
@@ -201,14 +205,16 @@ def identify(
             known = vectors.any(1) & bool(names)
             best = cosines.argmax(1) if names else np.zeros(len(vectors), int)
             score = np.clip(cosines[np.arange(len(best)), best], 0, 1) if names else np.zeros(len(vectors))
-            return {
+            made = {
                 "doc_id": part.column("doc_id"),
                 "lang_pred": pa.array([names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], pa.string()),
                 "score": pa.array(np.where(known, score, 0).astype(float), pa.float64()),
             }
+            return made | {"text": part.column("text")} if with_text else made
 
         return apply
 
-    found = map_slices(source, "text", f"doc_id {kind}, lang_pred string, score double", make)
+    kept = ", text string" if with_text else ""
+    found = map_slices(source, "text", f"doc_id {kind}, lang_pred string, score double{kept}", make)
     return found.withColumnRenamed("doc_id", doc_id)
 

@@ -41,7 +41,7 @@ def features(text: str) -> np.ndarray:
     """Hashed distinct words of a text, lower-cased."""
     words = set(WORD.findall(text.lower()))
     mask = (1 << BITS) - 1
-    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) & mask for w in words), np.int64, len(words)))
+    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) & mask for w in words), np.int32, len(words)))
 
 
 def telling(flat: np.ndarray, owner: np.ndarray, positive: np.ndarray) -> np.ndarray:
@@ -59,11 +59,13 @@ def telling(flat: np.ndarray, owner: np.ndarray, positive: np.ndarray) -> np.nda
     return ((deviation >= MIN_DEVIATION) & (in_p >= MIN_POSITIVES)) | (deviation <= -MIN_DEVIATION)
 
 
-def train(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of one classifier, by Adam steps on the risk over the telling words."""
-    size = 1 << BITS
-    flat = np.concatenate([*rows, np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def train(flat: np.ndarray, lengths: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of one classifier, by Adam steps on the risk over the telling words.
+
+    ``flat`` holds the rows' words one after the other, ``lengths`` how many each row has.
+    """
+    size, count = 1 << BITS, len(lengths)
+    owner = np.repeat(np.arange(count, dtype=np.int32), lengths)
     places = np.flatnonzero(telling(flat, owner, positive))
     index = np.full(size, -1)
     index[places] = np.arange(len(places))
@@ -74,7 +76,7 @@ def train(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[n
     weights = np.append(np.zeros(len(places)), np.log(prior / (1 - prior)))
     mean, spread = np.zeros(len(weights)), np.zeros(len(weights))
     for step in range(1, STEPS + 1):
-        score = np.bincount(owner, weights[column], len(rows)) + weights[-1]
+        score = np.bincount(owner, weights[column], count) + weights[-1]
         chance = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
         as_negative = share * chance
         steep = share * chance * (1 - chance)
@@ -133,21 +135,23 @@ def learn(
     def extract():
         def apply(part: pa.RecordBatch) -> dict:
             rows = [features(t) for t in part.column("text").to_pylist()]
-            return {**{k: part.column(k) for k in ("positive", "members")}, "words": pa.array(rows, pa.list_(pa.int64()))}
+            return {**{k: part.column(k) for k in ("positive", "members")}, "words": pa.array(rows, pa.list_(pa.int32()))}
 
         return apply
 
     made = map_slices(
         single.select("positive", member.alias("members"), "text"),
         "text",
-        "positive boolean, members array<int>, words array<bigint>",
+        "positive boolean, members array<int>, words array<int>",
         extract,
     ).select(F.explode("members").alias("member"), "positive", "words")
 
     def fit(group):
-        positive = np.array(group.column("positive").to_pylist())
-        rows = [np.array(r, np.int64) for r in group.column("words").to_pylist()]
-        weights, bias = train(rows, positive, prior) if positive.any() else (np.zeros(1 << BITS), np.log(prior / (1 - prior)))
+        positive = group.column("positive").to_numpy()
+        words = group.column("words").combine_chunks()
+        lengths, flat = words.value_lengths().to_numpy(), words.flatten().to_numpy()
+        none = np.zeros(1 << BITS), np.log(prior / (1 - prior))
+        weights, bias = train(flat, lengths, positive, prior) if positive.any() else none
         used = np.flatnonzero(weights)
         return pa.table(
             {
@@ -166,9 +170,12 @@ def learn(
 
 
 def score(
-    documents: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text", with_text: bool = False
 ) -> DataFrame:
-    """``doc_id, score`` of every row, from its whole text alone; null and empty texts get the bias's score."""
+    """``doc_id, score`` (and the text, if ``with_text``) of every row, from its whole text alone.
+
+    Null and empty texts get the bias's score.
+    """
     weights, bias = model
     source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -176,11 +183,13 @@ def score(
     def make():
         def apply(part: pa.RecordBatch) -> dict:
             raw = np.array([weights[features(t or "")].sum() + bias for t in part.column("text").to_pylist()])
-            return {
+            made = {
                 "doc_id": part.column("doc_id"),
                 "score": pa.array(1 / (1 + np.exp(-np.clip(raw, -40, 40))), pa.float64()),
             }
+            return made | {"text": part.column("text")} if with_text else made
 
         return apply
 
-    return map_slices(source, "text", f"doc_id {kind}, score double", make).withColumnRenamed("doc_id", doc_id)
+    kept = ", text string" if with_text else ""
+    return map_slices(source, "text", f"doc_id {kind}, score double{kept}", make).withColumnRenamed("doc_id", doc_id)
