@@ -474,14 +474,23 @@ def evidence_dedupe(spark, sf):
 _CITE_SRC = f"""{CASES_SQL}, e AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN 'law_civil_' || (ord % 1000)::VARCHAR WHEN ord % 3 = 1 THEN doc_id ELSE '' END AS doc_id, title, content FROM cases)"""
 
 
+_ART = "(刑法|民法典|公司法|劳动合同法|劳动争议调解仲裁法)?第[一二三四五六七八九十百千万零两〇0-9]+条"
+_DIGITS = "('零一二三四五六七八九')"
+# Numeral of a three-digit number, as article names have it.
+_NUMERAL = f"""CASE WHEN n <= 0 THEN '零' ELSE replace(regexp_replace(regexp_replace(array_to_string(list_transform([1, 2, 3], lambda i: CASE WHEN substr(lpad(n::VARCHAR, 3, '0'), i, 1) = '0' THEN '零'
+  ELSE substr({_DIGITS}, CAST(substr(lpad(n::VARCHAR, 3, '0'), i, 1) AS INTEGER) + 1, 1) || (['百', '十', ''])[i] END), ''), '零+', '零', 'g'), '^零|零$', '', 'g'), '一十', '十') END"""
+
+
 @query(
     "citation_metadata",
-    f"""WITH {_CITE_SRC}, x AS (SELECT ord, doc_id, title, content, regexp_extract(title || '   ' || content, '(刑法|民法典|公司法|劳动合同法|劳动争议调解仲裁法)?第[一二三四五六七八九十百千万零两〇0-9]+条') AS art,
-      regexp_extract(title || '   ' || content, '(刑法|民法典|公司法|劳动合同法|劳动争议调解仲裁法)?第[一二三四五六七八九十百千万零两〇0-9]+条', 1) AS pre FROM e)
+    f"""WITH {_CITE_SRC}, x AS (SELECT ord, doc_id, title, content, ord % 1000 AS n, regexp_extract(title || '   ' || content, '{_ART}') AS art,
+      regexp_extract(title || '   ' || content, '{_ART}', 1) AS pre FROM e)
     SELECT ord, substr(md5(concat_ws('|', 'vector', doc_id, 'c' || ord::VARCHAR, '', '', 'HYBRID_MATCH', substr(content, 1, 160))), 1, 16) AS evidence_id, 'vector' AS source_type,
       CASE WHEN doc_id LIKE 'law%' OR pre = '民法典' OR art LIKE '%民法典%' THEN '中华人民共和国民法典' WHEN pre <> '' THEN '中华人民共和国' || pre ELSE '' END AS law_name,
+      CASE WHEN doc_id LIKE 'law%' THEN '民法典第' || {_NUMERAL} || '条' ELSE art END AS article_no,
       regexp_extract(content, '([\\x{{4e00}}-\\x{{9fff}}]{{2,}}(?:人民法院|法院))', 1) AS court,
-      regexp_extract(content, '((?:\\(|（)?[0-9]{{4}}(?:\\)|）)?.{{0,8}}号)', 1) AS case_id FROM x""",
+      regexp_extract(content, '((?:\\(|（)?[0-9]{{4}}(?:\\)|）)?.{{0,8}}号)', 1) AS case_id,
+      title, '' AS source, '' AS target, 'HYBRID_MATCH' AS relation, doc_id, 'c' || ord::VARCHAR AS chunk_id, '' AS section, substr(content, 1, 120) AS snippet FROM x""",
 )
 def citation_metadata(spark, sf):
     rows = cases(spark, sf).select(
@@ -492,7 +501,10 @@ def citation_metadata(spark, sf):
         F.concat(F.lit("c"), F.col("ord").cast("string")).alias("chunk_id"), F.lit("HYBRID_MATCH").alias("relation"),
     )
     cited = citation.citation_items(citation.attach_citations(rows))
-    return cited.select("ord", "evidence_id", "source_type", "law_name", "court", "case_id")
+    return cited.select(
+        "ord", "evidence_id", "source_type", "law_name", "article_no", "court", "case_id", "title", "source", "target", "relation",
+        "doc_id", "chunk_id", "section", "snippet",
+    )
 
 
 @query(

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillgraph.operators import feedback, knowledge_base
-from quillgraph.registry import reports
-from quillgraph.registry.common import documents, registry, statutes, table
+from quillgraph.registry import reports, retrieval
+from quillgraph.registry.common import documents, registry, sql_bucket, sql_words, statutes, table
 from quillgraph.session import checkpoint_dir
 from quillgraph.sources import sinks, tables
 from quillgraph.streaming import conversation, failures as failure_stream
@@ -42,14 +42,17 @@ def failure_archive_index(spark, sf):
 
 @query(
     "stored_chunk_index",
-    """SELECT count(*) AS docs FROM documents WHERE length(text) > 0""",
+    f"""WITH {retrieval._CHUNKS} SELECT doc_id::VARCHAR AS doc_id, chunk_id, md5(text) AS text,
+      md5(array_to_string(list_transform({sql_words('text')}, lambda w: {sql_bucket('w')}), ',')) AS buckets FROM chunks""",
 )
 def stored_chunk_index(spark, sf):
-    """Documents with at least one chunk in the written index."""
+    """Every chunk of the written index, with its text and hash buckets."""
     path = _folder(spark)
     docs = documents(spark, sf).select("doc_id", F.col("source").alias("title"), "text")
     tables.build_index(docs, path)
-    return tables.load_index(spark, path).select("doc_id").distinct().agg(F.count(F.lit(1)).alias("docs"))
+    stored = tables.load_index(spark, path)
+    buckets = F.array_join(F.transform("buckets", lambda b: b.cast("string")), ",")
+    return stored.select("doc_id", "chunk_id", F.md5("text").alias("text"), F.md5(buckets).alias("buckets"))
 
 
 @query(

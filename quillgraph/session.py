@@ -50,14 +50,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Unlike executor-local storage the table survives lost executors, and
-    reading it back as parquet keeps size statistics for the planner.
+    reading it back as parquet keeps size statistics for the planner.  The
+    tables of a session stand in one folder, see ``drop_intermediates``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
+    path = f"{_intermediates(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _intermediates(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/quillgraph-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Remove every table this session cut lineage with; call it when no result of them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_intermediates(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 SPREAD_BYTES = 1 << 30
 
 
