@@ -144,7 +144,8 @@ def test_risk_is_not_fitted_below_zero():
     rng = np.random.default_rng(1)
     rows = [np.array([1, *rng.integers(100, 5000, 20)]) if i < 60 else rng.integers(100, 5000, 20) for i in range(600)]
     positive = np.arange(600) < 30
-    weights, bias = pu_toxicity.train([np.unique(r) for r in rows], positive, 0.1)
+    distinct = [np.unique(r) for r in rows]
+    weights, bias = pu_toxicity.train(np.concatenate(distinct), np.array([len(r) for r in distinct]), positive, 0.1)
     scores = np.array([weights[np.unique(r)].sum() + bias for r in rows])
     assert (scores[:60] > 0).all() and (scores[60:] > 0).mean() < 0.02
 
