@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.arrow import map_slices
@@ -134,22 +134,23 @@ def learn_prototypes(
     doc_id: str = "doc_id",
     sample_per_language: int = SAMPLE_PER_LANGUAGE,
 ) -> dict[str, np.ndarray]:
-    """Prototype vector per language, from at most ``sample_per_language`` ids of each.
+    """Prototype vector per language, from about ``sample_per_language`` ids of each, or all if it has fewer.
 
-    The sample holds the ids with the smallest hash, so it does not depend on
-    order or partitioning; rows with a null id, text or language teach nothing.
+    An id is in the sample if its hash falls into the language's share, so the
+    sample does not depend on order or partitioning; its size strays by the
+    square root of the number.  An id with several texts teaches the one with
+    the smallest hash.  Rows with a null id, text or language teach nothing.
     More than ``MAX_LANGUAGES`` languages are refused: the prototypes travel
     with every task.
     """
     rows = examples.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    limits = hashed.withColumn("rank", rank).filter(F.col("rank") <= sample_per_language).groupBy("lang").agg(
-        F.max("h").alias("limit")
-    )
-    if limits.count() > MAX_LANGUAGES:
+    ids = rows.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    shares = ids.select("lang", F.least(F.lit(1.0), F.lit(sample_per_language) / F.col("n")).alias("share"))
+    if shares.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sample = rows.join(F.broadcast(limits), "lang").filter(F.xxhash64("doc_id") <= F.col("limit")).select("lang", "text")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    chosen = rows.join(F.broadcast(shares), "lang").filter(place < F.col("share"))
+    sample = chosen.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def add_up(batches):
         own = profiler(DIMENSIONS, ORDER, SEED)
