@@ -1,4 +1,5 @@
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def test_streaming_memory_equals_fold(spark, tmp_path):
                 text += f" 问题{turn}？"
             rows.append((conv, turn, "user" if turn % 2 == 0 else "assistant", text))
     parts = [[r for r in rows if r[1] < 11], [r for r in rows if 11 <= r[1] < 18], [r for r in rows if r[1] >= 18]]
-    got = streamed(spark, parts, tmp_path, f"t{rng.random()}")
+    got = streamed(spark, parts, tmp_path, f"t{uuid.uuid4().hex}")
     assert [(r["conv_id"], r["turn"]) for r in got] == sorted((r[0], r[1]) for r in rows)
     assert not any(r["late"] for r in got)
     expected = []
@@ -83,7 +84,7 @@ def test_streaming_memory_equals_fold(spark, tmp_path):
 
 def test_streaming_memory_shrinks_only_for_a_new_summary(spark, tmp_path):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", "同样的话") for t in range(24)]
-    got = streamed(spark, [rows], tmp_path, f"s{random.random()}")
+    got = streamed(spark, [rows], tmp_path, f"s{uuid.uuid4().hex}")
     assert [r["turn"] for r in got if r["trigger"] == "turn_threshold"] == list(range(11, 24, 2))
     assert [r["turn"] for r in got if r["summary_updated"]] == [11]
     assert got[-1]["message_count"] == 24
@@ -91,7 +92,7 @@ def test_streaming_memory_shrinks_only_for_a_new_summary(spark, tmp_path):
 
 def test_late_messages_are_passed_on(spark, tmp_path):
     early, late = [(1, 4, "user", "5万元"), (1, 5, "assistant", "好")], [(1, 2, "user", "9万元"), (1, 6, "user", "再问？")]
-    got = streamed(spark, [early, late], tmp_path, f"l{random.random()}")
+    got = streamed(spark, [early, late], tmp_path, f"l{uuid.uuid4().hex}")
     assert [(r["turn"], r["late"], r["amount"], r["late_count"]) for r in got] == [
         (2, True, "5万元", 1), (4, False, "5万元", 0), (5, False, "5万元", 0), (6, False, "5万元", 1),
     ]
@@ -115,7 +116,7 @@ def test_document_stream_chunks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("y" * 500)
     chunks = ingest.chunk_stream(ingest.document_stream(spark, str(tmp_path / "in")))
-    ingest.run_to_table(chunks, str(tmp_path / "out"), f"ingest-{tmp_path.name}").awaitTermination()
+    ingest.run_to_table(chunks, str(tmp_path / "out"), f"ingest-{uuid.uuid4().hex}").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
