@@ -271,13 +271,13 @@ def _load(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Searcher]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["member_offsets"], np.int64), vectors, Searcher(graph)
 
 
-def _answers(loaded, query_ids: np.ndarray, queries: np.ndarray, k: int, breadth: int):
-    """Query, candidate and score of the ``k`` best of one shard for each query; the query's own id is no candidate."""
+def _answers(loaded, query_ids: np.ndarray, numbers: np.ndarray, queries: np.ndarray, k: int, breadth: int):
+    """Query, its row's number, candidate and score of the ``k`` best of one shard for each query; the query's own id is no candidate."""
     ids, offsets, vectors, searcher = loaded
     for at in range(0, len(queries), 128):
-        part, own = queries[at : at + 128], query_ids[at : at + 128]
+        part, own, rows = queries[at : at + 128], query_ids[at : at + 128], numbers[at : at + 128]
         nodes = searcher.search(part, max(breadth, k + 1))
-        for query, me, found in zip(part, own, nodes, strict=True):
+        for query, me, row, found in zip(part, own, rows, nodes, strict=True):
             found = found[found >= 0]
             scores = np.einsum("ij,j->i", vectors[found], query)
             best = np.lexsort((found, -scores))
@@ -292,7 +292,7 @@ def _answers(loaded, query_ids: np.ndarray, queries: np.ndarray, k: int, breadth
                 keep = members != me
                 members, values = members[keep], values[keep]
                 first = np.lexsort((members, -values))[:k]
-                yield np.full(len(first), me), members[first], values[first]
+                yield np.full(len(first), me), np.full(len(first), row), members[first], values[first]
 
 
 def search_index(
@@ -313,30 +313,32 @@ def search_index(
     number of queries.
     """
     asked = usable(queries, vec_id, embedding).withColumnRenamed("vec_id", "query_id")
+    asked = cut_lineage(asked.withColumn("number", F.monotonically_increasing_id()))
     blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "number"), F.lit(blocks)).cast("int"))
     shards = index.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
     sent = asked.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     sent = sent.drop("shards")
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def look_up(graph, block):
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "number": [], "vec_id": [], "score": []}
         if graph.num_rows and block.num_rows:
             loaded = _load(graph.to_pylist()[0])
             ids = block.column("query_id").to_numpy()
             vectors = np.stack(block.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
-            for a, b, c in _answers(loaded, ids, vectors, k, breadth):
-                for name, part in zip(out, (a, b, c), strict=True):
+            numbers = block.column("number").to_numpy()
+            for columns in _answers(loaded, ids, numbers, vectors, k, breadth):
+                for name, part in zip(out, columns, strict=True):
                     out[name].append(part)
-        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+        kinds = {"query_id": pa.int64(), "number": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         return pa.table({n: pa.array(np.concatenate(v) if v else [], kinds[n]) for n, v in out.items()})
 
     keys = ["dim", "shard", "block"]
     found = graphs.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(
-        look_up, "query_id bigint, vec_id bigint, score double"
+        look_up, "query_id bigint, number bigint, vec_id bigint, score double"
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

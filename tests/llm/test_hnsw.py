@@ -69,3 +69,17 @@ def test_edge_cases(spark):
     }
     assert hnsw.nearest(frame.limit(0), frame, 3).count() == 0
     assert hnsw.nearest(frame, frame.limit(0), 3).count() == 0
+
+
+def test_repeated_query_rows(spark):
+    """Every row of a repeated query id gets its own whole answer, over all shards."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(300, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    one, two = frame.filter("vec_id = 7"), frame.filter("vec_id = 9")
+    asked = one.union(one).union(one).union(two)
+    made = hnsw.search_index(hnsw.build_index(frame, shard_rows=80), asked, 20, query_block=2).collect()
+    for q, times in ((7, 3), (9, 1)):
+        own = sorted((r["rank"], r["vec_id"]) for r in made if r["query_id"] == q)
+        expected = brute(list(range(300)), vectors, [q], 20)[q]
+        assert own == [(rank, v) for rank, v in enumerate(expected, 1) for _ in range(times)]
