@@ -28,12 +28,13 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int, path: s
     ``width`` is the bytes of one id.  Spark's text writer does the writing
     (row after row, with the end id's bytes as separator), so its commit
     protocol covers lost executors.  A null text is an empty document.  Ids
-    that do not fit the width, or that equal ``end_id``, are refused.
+    that do not fit the width, or that equal ``end_id``, are refused; a special
+    token's string in a text is ordinary text, so that it ends no document.
     """
     source = documents.select(F.col(text).cast("string").alias("text"))
 
     def make():
-        encoder = segment_ids(tokenizer)
+        encoder = segment_ids(tokenizer, plain_specials=True)
 
         def apply(part: pa.RecordBatch) -> dict:
             rows = []

@@ -25,14 +25,18 @@ CACHED_SEGMENTS = 300_000
 
 
 class SegmentIds:
-    """Ids of texts as ``numpy.uint32`` arrays; special tokens' strings in a text are ordinary text."""
+    """Ids of texts as ``numpy.uint32`` arrays.
 
-    def __init__(self, path: str):
+    A special token's string in a text gives the special token, as in the library; with ``plain_specials`` it is ordinary text.
+    No segment ends inside ``<|endoftext|>``: a segment that holds its first mark goes on to the next white space.
+    """
+
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -55,6 +59,6 @@ class SegmentIds:
 
 
 @cache
-def segment_ids(path: str) -> SegmentIds:
+def segment_ids(path: str, plain_specials: bool = False) -> SegmentIds:
     """The encoder of this Python worker; its look-up table lives as long as the worker."""
-    return SegmentIds(path)
+    return SegmentIds(path, plain_specials)

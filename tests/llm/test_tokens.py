@@ -145,3 +145,32 @@ def test_fullest_combination_is_optimal():
         assert all(n <= counts[k] for k, n in chosen.items())
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "a", "b_", " ", "  ", "\n", "é", "'s", "<", "12", "世", "endoftext"]), max_size=14))
+def test_special_token_strings_as_in_the_library(parts):
+    from tokenizers import Tokenizer
+
+    text = "".join(parts)
+    loaded = test_special_token_strings_as_in_the_library.__dict__
+    for name in ("default", "plain"):
+        if name not in loaded:
+            loaded[name] = Tokenizer.from_file(BYTES)
+    default, plain = loaded["default"], loaded["plain"]
+    plain.encode_special_tokens = True
+    assert segment_ids(BYTES).encode([text])[0].tolist() == default.encode(text, add_special_tokens=False).ids
+    made = segment_ids(BYTES, plain_specials=True).encode([text])[0].tolist()
+    assert made == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_keeps_special_tokens(spark):
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id int, text string")
+    (row,) = bin_slack.pack(docs, BYTES).collect()
+    assert (row["length"], row["ids_crc32"]) == (4, zlib.crc32(np.asarray([64, 50256, 65, 0], "<u4").tobytes()))
+
+
+def test_token_files_hold_special_strings_as_text(spark, tmp_path):
+    from quillgraph.llm.separator_scan import scan_separators, write_token_files
+
+    docs = spark.createDataFrame([("a<|endoftext|>b",)], "text string")
+    write_token_files(docs, BYTES, 50256, f"{tmp_path}/ids")
+    assert [r["n_tokens"] for r in scan_separators(spark, f"{tmp_path}/ids", 50256).collect()] == [9]
