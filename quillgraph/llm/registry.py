@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from quillgraph.llm import (
     bin_slack,
     chat_format,
+    collocations,
     hnsw,
     hyperdim,
     line_rules,
     piece_bpe,
     pu_toxicity,
+    refined_dedup,
     separator_scan,
     simhash,
     stupid_backoff,
+    whitening,
 )
 from quillgraph.llm.sampling import fold
 from quillgraph.session import checkpoint_dir
@@ -93,6 +96,21 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that a long cannot hold is null here; the operator gives a decimal."""
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    columns = ["vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation")]
+    return made.select(*columns, "whitened", "explained", "identity_error")
+
+
+def op12_refined_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refined_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_separator_scan": op1_separator_scan,
     "op2_chat_format": op2_chat_format,
@@ -104,9 +122,14 @@ QUERIES = {
     "op8_piece_backtracking": op8_piece_backtracking,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_bin_slack_packing": op10_bin_slack_packing,
+    "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
+    "op12_refined_dedup": op12_refined_dedup,
+    "op13_collocations": op13_collocations,
 }
 SQL = {
     "op2_chat_format": chat_format.ORACLE,
     "op4_line_rules": line_rules.ORACLE,
     "op9_stupid_backoff": stupid_backoff.ORACLE,
+    "op12_refined_dedup": refined_dedup.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
