@@ -21,7 +21,6 @@ from quillgraph.operators.skew import hot_limit, lookup_unique
 from quillgraph.operators.substring_join import contained_pairs
 from quillgraph.session import compute_once, cut_lineage, explode_rows
 
-CONTAINMENT_GRAM = 16
 
 
 # --- one key ------------------------------------------------------------------------
@@ -275,7 +274,7 @@ def dedup_faqs(
     texts = nodes.groupBy("norm_key").agg(F.first("norm").alias("norm"))
     inside = contained_pairs(
         texts, "norm_key", "norm",
-        texts.select(F.col("norm_key").alias("outer_key"), F.col("norm").alias("outer")), "outer_key", "outer", CONTAINMENT_GRAM,
+        texts.select(F.col("norm_key").alias("outer_key"), F.col("norm").alias("outer")), "outer_key", "outer",
     ).filter("norm_key <> outer_key")
     by_text = nodes.select("ord", "norm_key")
     containment = (

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillgraph.operators import feedback, knowledge_base
 from quillgraph.registry import reports, retrieval
 from quillgraph.registry.common import documents, registry, sql_bucket, sql_words, statutes, table
-from quillgraph.session import checkpoint_dir
+from quillgraph.session import scratch_folder
 from quillgraph.sources import sinks, tables
 from quillgraph.streaming import conversation, failures as failure_stream
 from quillgraph.streaming.ingest import run_to_table
@@ -23,10 +21,6 @@ def _stream(spark, sf: str, name: str):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _folder(spark) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/quillgraph-out-{uuid.uuid4().hex}"
-
-
 @query(
     "failure_archive_index",
     f"""WITH {reports._F}, d AS (SELECT reason, question_type, st FROM an), k AS (SELECT 'reason' AS kind, reason AS value FROM an UNION ALL SELECT 'question_type', question_type FROM an
@@ -35,7 +29,7 @@ def _folder(spark) -> str:
 )
 def failure_archive_index(spark, sf):
     """Partitioned archive of all failures, counted from the files written."""
-    path = _folder(spark)
+    path = scratch_folder(spark)
     sinks.archive_failures(reports.failures(spark, sf).withColumn("timestamp", F.lit("2024-05-01T00:00:00")), path)
     return sinks.archive_index(spark.read.json(path)).select("kind", "value", "n")
 
@@ -47,7 +41,7 @@ def failure_archive_index(spark, sf):
 )
 def stored_chunk_index(spark, sf):
     """Every chunk of the written index, with its text and hash buckets."""
-    path = _folder(spark)
+    path = scratch_folder(spark)
     docs = documents(spark, sf).select("doc_id", F.col("source").alias("title"), "text")
     tables.build_index(docs, path)
     stored = tables.load_index(spark, path)
@@ -107,7 +101,7 @@ def knowledge_base_faqs(spark, sf):
 def stream_conversation_memory(spark, sf):
     """Stateful memory over the message stream; one row per message."""
     stream = _stream(spark, sf, "conversations")
-    path = _folder(spark)
+    path = scratch_folder(spark)
     run_to_table(conversation.conversation_memory(stream), path, f"memory-{uuid.uuid4().hex}").awaitTermination()
     return spark.read.schema(conversation.OUTPUT).parquet(path)
 
@@ -121,7 +115,7 @@ def stream_failures_daily(spark, sf):
     failing = _stream(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("query"), F.col("event_type").alias("failure_reason"),
     )
-    path = _folder(spark)
+    path = scratch_folder(spark)
     kept = failure_stream.daily_distinct(failing).select("day", "failure_key")
     run_to_table(kept, path, f"failures-{uuid.uuid4().hex}").awaitTermination()
     return spark.read.schema("day string, failure_key string").parquet(path)

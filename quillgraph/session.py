@@ -54,11 +54,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     tables of a session stand in one folder, see ``drop_intermediates``.
     """
     spark = df.sparkSession
-    path = f"{_intermediates(spark)}/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path among the session's intermediates, which ``drop_intermediates`` removes."""
+    return f"{_intermediates(spark)}/{uuid.uuid4().hex}"
+
+
 def _intermediates(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/quillgraph-{spark.sparkContext.applicationId}"
 

@@ -1,6 +1,9 @@
 """Registered queries against their DuckDB oracle on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -14,7 +17,7 @@ TABLES = (
 CHECKED = [
     "text_normalize", "text_clean_statutes", "sentence_split", "tokenize_questions", "chunk_windows", "chunk_case_sections",
     "chunk_law_articles", "dedup_exact", "dedup_statutes_greedy", "dedup_documents_greedy", "entity_mentions", "graph_edges",
-    "graph_find_nodes", "bm25_topk", "vector_topk", "hash_embedding", "rrf_fusion", "evidence_dedupe", "citation_metadata",
+    "graph_find_nodes", "bm25_topk", "bm25_topk_many", "bm25_stored_index", "vector_topk", "hash_embedding", "rrf_fusion", "evidence_dedupe", "citation_metadata",
     "strategy_route", "query_rewrite", "token_budget_window", "fact_extract", "conversation_summary", "eval_by_question_type",
     "error_matrix_source_type", "failure_counts", "action_queue", "failure_archive_index",
 ]
@@ -54,3 +57,12 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["item_id", "doc_id", "rank", "score"]
+
+
+@pytest.mark.parametrize("gone", [("quillgraph/llm", "tests/llm"), ("quillgraph/llm", "tests/llm", "corpus_pipeline.py")])
+def test_the_rest_imports_without_the_optional_parts(tmp_path, gone):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in (".git", "__pycache__") or os.path.relpath(os.path.join(folder, n), root) in gone])
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith(('op', 'pipeline')) for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 100 and out[1:] == ["False", "True"]
