@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm.arrow import slices
 from quillgraph.llm.lookup import FIELD_BITS, bit_field, hot_lookup, marked
 from quillgraph.session import cut_lineage
 
@@ -38,13 +39,16 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 WORD_ENDS = b" \t"
 END, GAP = 10, 32
 
-#: Texts are read in blocks of about this many bytes.
-BLOCK = 1 << 20
+#: Texts are read in blocks of about this many bytes, from slices of a batch.
+BLOCK = 1 << 19
+SLICE_ROWS = 2048
 #: Keys a task gathers before it counts them, and phrases before it sends them.
-GATHERED = 1 << 21
-PHRASES = 1 << 18
+GATHERED = 1 << 20
+PHRASES = 1 << 17
 #: Entries of a summary; partitions are as many as their mass over the threshold needs.
-CAPACITY = 1 << 18
+CAPACITY = 1 << 16
+#: Phrases that a task of the exact count adds up.
+COUNTED = 1 << 16
 #: Partitions are dealt to at most this many tasks, which take them one after the other.
 MERGING_TASKS = 20_000
 #: Parts of a language in which its first phrases are sought before its own order.
@@ -128,11 +132,10 @@ def language_seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 7)
 
 
-def keys_of(words: Words, order: int, old: int, fields: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def keys_of(words: Words, order: int, old: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``n, key, whole`` for n from 1 to ``order``: the key of the n-gram from each word on.
 
-    ``whole`` says that it stands in one piece, ends behind the repeated words
-    and, for all that ``fields`` (one per n) know, has frequent parts.
+    ``whole`` says that it stands in one piece and ends behind the repeated words.
     """
     key = mixed(words.hashes)
     for n in range(1, order + 1):
@@ -150,10 +153,11 @@ def place(key: np.ndarray) -> np.ndarray:
 
 def texts_by_language(batches) -> Iterator[tuple[str, Iterator[bytes]]]:
     for batch in batches:
-        rows: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            rows.setdefault(lang, []).append(text or b"")
-        yield from ((lang, iter(texts)) for lang, texts in rows.items())
+        for part in slices(batch, "text", SLICE_ROWS):
+            rows: dict[str, list[bytes]] = {}
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                rows.setdefault(lang, []).append(text or b"")
+            yield from ((lang, iter(texts)) for lang, texts in rows.items())
 
 
 def partial_counts(source: DataFrame, order: int, partitions: int, fields: list[np.ndarray]) -> DataFrame:
@@ -180,7 +184,7 @@ def partial_counts(source: DataFrame, order: int, partitions: int, fields: list[
             seed = language_seed(lang)
             for block, old in blocks(texts):
                 before = None
-                for n, key, whole in keys_of(Words(block, seed), order, old, sent.value):
+                for n, key, whole in keys_of(Words(block, seed), order, old):
                     if n < order - 1:
                         continue
                     if n == order:
@@ -266,40 +270,71 @@ def surviving(partial: DataFrame, threshold: int, partitions: int, capacity: int
 
 
 def exact_counts(source: DataFrame, longest: int, fields: list[np.ndarray]) -> DataFrame:
-    """``lang, phrase, n_words, n`` of the n-grams marked in the fields; an empty phrase has all words of its language."""
+    """``lang, phrase, n_words, n`` of the n-grams marked in the fields; an empty phrase has all words of its language.
+
+    Tasks send what they counted in one row per language and part of the
+    phrases; a part is added up by one task.
+    """
     sent = source.sparkSession.sparkContext.broadcast(fields)
-    names = ["lang", "phrase", "n_words", "n"]
-
-    def rows(found: dict, totals: dict) -> pa.RecordBatch:
-        made = [(lang, phrase, n, count) for (lang, phrase, n), count in found.items()]
-        made += [(lang, b"", 0, count) for lang, count in totals.items()]
-        langs, phrases, sizes, counts = zip(*made, strict=True) if made else ((),) * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=names
+    parts = 16 + sum(int(np.bitwise_count(f).sum()) for f in fields) // COUNTED
+
+    def packed(found: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
+        lists: dict[tuple[int, str], tuple[list[bytes], list[int]]] = {}
+        for (lang, phrase), count in found.items():
+            phrases, counts = lists.setdefault((xxhash.xxh64_intdigest(phrase) % parts, lang), ([], []))
+            phrases.append(phrase)
+            counts.append(count)
+        return pa.RecordBatch.from_pydict(
+            {
+                "part": pa.array([p for p, _ in lists], pa.int32()),
+                "lang": pa.array([lang for _, lang in lists], pa.string()),
+                "phrases": pa.array([b"\n".join(phrases) for phrases, _ in lists.values()], pa.binary()),
+                "counts": pa.array([np.array(counts, "<i8").tobytes() for _, counts in lists.values()], pa.binary()),
+            }
         )
 
-    def run(batches):
-        found: dict[tuple, int] = {}
-        totals: dict[str, int] = {}
+    def count(batches):
+        found: dict[tuple[str, bytes], int] = {}
         for lang, texts in texts_by_language(batches):
             seed = language_seed(lang)
             for block, old in blocks(texts):
                 words = Words(block, seed)
-                totals[lang] = totals.get(lang, 0) + max(0, len(words) - old)
-                for n, key, whole in keys_of(words, longest, old, sent.value):
+                found[lang, b""] = found.get((lang, b""), 0) + max(0, len(words) - old)
+                for n, key, whole in keys_of(words, longest, old):
                     at = np.flatnonzero(whole)
                     at = at[marked(sent.value[n - 1], place(key[at]))]
                     _, first, counts = np.unique(key[at], return_index=True, return_counts=True)
-                    for start, count in zip(at[first].tolist(), counts.tolist(), strict=True):
-                        name = (lang, words.text(start, start + n - 1), n)
-                        found[name] = found.get(name, 0) + count
+                    for start, times in zip(at[first].tolist(), counts.tolist(), strict=True):
+                        name = (lang, words.text(start, start + n - 1))
+                        found[name] = found.get(name, 0) + times
                 if len(found) >= PHRASES:
-                    yield rows(found, totals)
-                    found, totals = {}, {}
-        yield rows(found, totals)
+                    yield packed(found)
+                    found = {}
+        yield packed(found)
+
+    def add(batches):
+        part, total = None, {}
+
+        def out():
+            langs, phrases = zip(*total, strict=True)
+            sizes = [p.count(b" ") + 1 if p else 0 for p in phrases]
+            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(sizes, pa.int32()), pa.array(total.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "n"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if total:
+                        yield out()
+                    part, total = row["part"], {}
+                for phrase, times in zip(row["phrases"].split(b"\n"), np.frombuffer(row["counts"], "<i8").tolist(), strict=True):
+                    total[row["lang"], phrase] = total.get((row["lang"], phrase), 0) + times
+        if total:
+            yield out()
 
-    made = source.mapInArrow(run, "lang string, phrase binary, n_words int, n bigint")
-    return made.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(count, "part int, lang string, phrases binary, counts binary")
+    dealt = counted.repartition(min(parts, MERGING_TASKS), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "lang string, phrase binary, n_words int, n bigint")
 
 
 def frequent_ngrams(
