@@ -15,6 +15,8 @@ from quillgraph.functions import text as tx
 from quillgraph.session import compute_once
 
 ORDER = ("conv_id", "turn")
+SCALAR_FACTS = ("amount", "time")
+LIST_FACTS = ("relationship", "actor", "role", "event")
 
 
 def recent_messages(messages: DataFrame, window: int = fv.MEMORY_WINDOW) -> DataFrame:
@@ -159,36 +161,42 @@ def _tagged(key: str) -> Column:
 
 def scalar_fact_rows(messages: DataFrame) -> DataFrame:
     """(conv_id, key, turn, value, confidence, source) of every stated amount and time."""
-    facts = compute_once(messages.select("conv_id", "turn", "role", "text"), f=extract_facts(F.col("text")))
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("key"), F.col(f"f.{k}").alias("value")) for k in ("amount", "time")]
-    )
+    numbered = ["pair"] if "pair" in messages.columns else []
+    facts = compute_once(messages.select("conv_id", "turn", "role", "text", *numbered), f=extract_facts(F.col("text")))
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"f.{k}").alias("value")) for k in SCALAR_FACTS])
     return facts.select(
-        "conv_id", "turn", fact_source(F.col("role")).alias("source"), F.col("f.confidence").alias("confidence"),
+        "conv_id", "turn", *numbered, fact_source(F.col("role")).alias("source"), F.col("f.confidence").alias("confidence"),
         F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("kv"),
-    ).select("conv_id", F.col("kv.key").alias("key"), "turn", F.col("kv.value").alias("value"), "confidence", "source")
+    ).select("conv_id", F.col("kv.key").alias("key"), "turn", F.col("kv.value").alias("value"), "confidence", "source", *numbered)
 
 
 def fold_facts(messages: DataFrame, strategy: str = "confidence_weighted") -> DataFrame:
     """(conv_id, key, value, confidence, source, turn, events): scalar facts folded over the whole conversation.
 
-    Every stated value meets the value kept so far, in the order of turns.  The
-    turn of a fact is the number of its user-assistant pair, from 1.  ``events``
-    logs the conflicts: message turn, old, new and chosen value, uncertainty.
-    Only the stated facts of a conversation come together, as short structs.
+    Every stated value meets the value kept so far, in the order of turns (a
+    null turn first), user before assistant.  The turn of a fact is the number
+    of its user-assistant pair, from 1.  ``events`` logs the conflicts: message
+    turn, old, new and chosen value, uncertainty.  Only the stated facts of a
+    conversation come together, as short structs.
     """
-    pair = F.sum((F.col("role") == "user").cast("int")).over(
-        Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    pair = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(
+        Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0)
     )
-    pairs = messages.select("conv_id", "turn", F.greatest(F.lit(1), pair).cast("int").alias("pair"))
-    stated = scalar_fact_rows(messages).join(pairs, ["conv_id", "turn"])
+    stated = scalar_fact_rows(messages.withColumn("pair", F.greatest(F.lit(1), pair).cast("int")))
     fact = F.struct("value", "confidence", "source", F.col("pair").alias("turn"))
+    second = F.when(F.col("source") == "user", 0).otherwise(1)
     listed = stated.groupBy("conv_id", "key").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("turn").alias("at"), fact.alias("fact")))).alias("facts")
+        F.sort_array(F.collect_list(F.struct(F.col("turn").alias("at"), second.alias("second"), fact.alias("fact")))).alias("facts")
     )
+    out = listed.select("conv_id", "key", folded(F.col("facts"), strategy).alias("r"))
+    return out.select("conv_id", "key", "r.kept.*", "r.events")
+
+
+def folded(facts: Column, strategy: str = "confidence_weighted") -> Column:
+    """struct(kept, events) of a non-empty array of stated facts (at, second, fact), which are in order."""
     event = "struct<at:bigint,old_value:string,new_value:string,chosen_value:string,uncertain:boolean>"
     kind = "struct<value:string,confidence:double,source:string,turn:int>"
-    first = F.struct(F.get("facts", 0)["fact"].cast(kind).alias("kept"), F.array().cast(f"array<{event}>").alias("events"))
+    first = F.struct(F.get(facts, 0)["fact"].cast(kind).alias("kept"), F.array().cast(f"array<{event}>").alias("events"))
 
     def step(acc: Column, x: Column) -> Column:
         def with_result(r: Column) -> Column:
@@ -203,10 +211,7 @@ def fold_facts(messages: DataFrame, strategy: str = "confidence_weighted") -> Da
 
         return F.get(F.transform(F.array(resolve(acc["kept"], x["fact"].cast(kind), strategy)), with_result), F.lit(0))
 
-    folded = listed.select(
-        "conv_id", "key", F.aggregate(F.slice("facts", F.lit(2), F.size("facts")), first, step).alias("r")
-    )
-    return folded.select("conv_id", "key", "r.kept.*", "r.events")
+    return F.aggregate(F.slice(facts, F.lit(2), F.greatest(F.lit(0), F.size(facts) - 1)), first, step)
 
 
 # --- summary --------------------------------------------------------------------------

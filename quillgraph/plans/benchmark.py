@@ -54,7 +54,7 @@ def score_answers(samples: DataFrame, answers: DataFrame) -> DataFrame:
             ),
             "citation_correctness": evaluation.citation_correctness(F.col("cited_ids"), F.col("candidate_ids")),
             "citation_coverage": evaluation.citation_coverage(claims, citations, F.col("grounded_evidence")),
-            "reflection_triggered": F.col("decision").isin("re-retrieve", "re-reason"),
+            "reflection_triggered": F.col("first_decision").isin("re-retrieve", "re-reason"),
             "candidate_evidence_count": F.size("candidate_ids"),
             "actual_retrieval_strategy": F.col("retrieval_strategy"),
             "__m": multi,

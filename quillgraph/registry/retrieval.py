@@ -459,6 +459,26 @@ def grounding_score(spark, sf):
     return out
 
 
+@query(
+    "reflection_rounds",
+    f"""WITH {_CLAIM}, un AS (SELECT item_id, claim, count(*) FILTER (WHERE support > 0.03) AS k FROM cr WHERE n <= 3 GROUP BY 1, 2),
+    u AS (SELECT item_id, count(*) FILTER (WHERE k = 0) AS unsupported FROM un GROUP BY 1), e AS (SELECT item_id, count(*) AS n FROM top GROUP BY 1),
+    d AS (SELECT item_id, n, {fv.REFLECTION_WEIGHTS['coverage']} + {fv.REFLECTION_WEIGHTS['consistency']} * least(1.0, n / 5.0) + {fv.REFLECTION_WEIGHTS['depth']} * least(1.0, least(3, n) / 3.0) AS score, coalesce(unsupported, 0) AS unsupported FROM e LEFT JOIN u USING (item_id)),
+    f AS (SELECT item_id, unsupported, CASE WHEN score < {fv.REFLECTION_THRESHOLD} THEN 're-retrieve' WHEN least(3, n) < {fv.REFLECTION_MIN_STEPS} THEN 're-reason' WHEN unsupported > 0 THEN 're-retrieve' ELSE 'pass' END AS first_decision FROM d)
+    SELECT item_id, unsupported, first_decision, CASE WHEN first_decision = 'pass' THEN 1 ELSE 2 END AS rounds, 'pass' AS decision FROM f""",
+)
+def reflection_rounds(spark, sf):
+    """Whether the evidence of a question asks for another round, how many rounds it takes and how it ends."""
+    mapped, evidence = _claims(spark, sf)
+    found = evidence.groupBy("item_id").agg(F.count("*").alias("n"))
+    open_claims = mapped.groupBy("item_id").agg(F.count_if(F.col("support_level") == "unsupported").alias("unsupported"))
+    state = found.join(open_claims, "item_id", "left").withColumn("unsupported", F.coalesce("unsupported", F.lit(0)))
+    policy = grounding.reflection(F.lit(1.0), F.col("n"), F.greatest(F.lit(1), F.least(F.lit(3), F.col("n"))))
+    decided = state.withColumn("first_decision", grounding.reflection_decision(policy["decision"], F.col("unsupported"), F.lit(0)))
+    rounds = grounding.counted_rounds(decided.withColumn("strategy", F.lit("hybrid")), "strategy")
+    return rounds.select("item_id", "unsupported", "first_decision", "rounds", "decision")
+
+
 # --- candidates and citations -------------------------------------------------------------------
 _EVENT_EVIDENCE = """ev AS (SELECT event_id, user_id % 50 AS qid, 'graph' AS et, event_type AS source, 'u' || (user_id % 20)::VARCHAR AS target, event_type AS relation, event_type || props AS evidence, value FROM events)"""
 
@@ -574,4 +594,4 @@ def answers(spark, sf):
     chunks = _chunks(spark, sf).withColumn("source_type", F.lit(""))
     asked = questions(spark, sf).select("qid", "query")
     out = answering.answer_questions(asked, "qid", chunks)
-    return out.select("qid", "retrieval_strategy", "short_answer", "confidence", "grounding_score", "grounded", "decision")
+    return out.select("qid", "retrieval_strategy", "short_answer", "confidence", "grounding_score", "grounded", "first_decision", "rounds", "decision")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillgraph.operators import feedback, knowledge_base
-from quillgraph.registry import reports, retrieval
+from quillgraph.registry import dialogue, reports, retrieval
 from quillgraph.registry.common import documents, registry, sql_bucket, sql_words, statutes, table
 from quillgraph.session import scratch_folder
 from quillgraph.sources import sinks, tables
-from quillgraph.streaming import conversation, failures as failure_stream
+from quillgraph.streaming import conversation, facts
+from quillgraph.streaming import failures as failure_stream
 from quillgraph.streaming.ingest import run_to_table
 
 QUERIES, SQL, query = registry()
@@ -116,6 +119,23 @@ def stream_failures_daily(spark, sf):
         F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("query"), F.col("event_type").alias("failure_reason"),
     )
     path = scratch_folder(spark)
-    kept = failure_stream.daily_distinct(failing).select("day", "failure_key")
-    run_to_table(kept, path, f"failures-{uuid.uuid4().hex}").awaitTermination()
-    return spark.read.schema("day string, failure_key string").parquet(path)
+    failure_stream.record_daily(failing, path, f"failures-{uuid.uuid4().hex}").awaitTermination()
+    kept = failure_stream.recorded(spark, path, failure_stream.keyed_failures(failing).schema)
+    return kept.select("day", "failure_key")
+
+
+@query(
+    "stream_conversation_facts",
+    f"""WITH RECURSIVE {dialogue._FACT_FOLD} SELECT conv_id, key, arg_max(value, n) AS value, round(arg_max(confidence, n), 6) AS confidence, arg_max(pair, n) AS turn, count(*) FILTER (WHERE conflict) AS conflicts
+    FROM folded GROUP BY conv_id, key""",
+)
+def stream_conversation_facts(spark, sf):
+    """Facts of every conversation whose messages arrive in five micro-batches, turns mixed up."""
+    path, source = scratch_folder(spark), scratch_folder(spark)
+    said = dialogue._user_facts(spark, sf)
+    said.repartition(5, F.xxhash64("conv_id", "turn")).write.parquet(source)
+    stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run_to_table(facts.conversation_facts(stream), path, f"facts-{uuid.uuid4().hex}", rocksdb=True).awaitTermination()
+    last = facts.latest(spark.read.parquet(path)).select("conv_id", F.explode("facts").alias("f"))
+    kept = last.select("conv_id", "f.key", "f.kept.*", F.size("f.events").alias("conflicts"))
+    return kept.select("conv_id", "key", "value", F.round("confidence", 6).alias("confidence"), "turn", "conflicts")

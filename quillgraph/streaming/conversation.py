@@ -1,11 +1,12 @@
-"""Streaming conversation memory.
+"""Streaming short-term memory and summary of conversations.
 
 State per conversation is bounded: the short-term window (24 messages, 1800
-tokens), the kept value of each scalar fact, list facts (fixed word lists), the
-summary text and a few counters.  Nothing waits for missing turns: messages are
-folded in the order of their turns within what has arrived.  One that arrives
-after a later turn was folded is passed on marked ``late`` and counted, so every
-input row gives one output row.
+tokens), the summary text and a few counters.  Nothing waits for missing turns:
+messages are folded in the order of their turns within what has arrived, a null
+turn first.  One that arrives after a later one was folded is passed on marked
+``late`` and counted; it no longer enters the window.  Every input row gives one
+output row.  What messages state as facts is kept elsewhere, late ones included
+(``streaming.facts``).
 """
 
 from __future__ import annotations
@@ -20,37 +21,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgraph.functions import fixed_values as fv
 from quillgraph.functions import text as tx
-from quillgraph.operators import memory
 
 OUTPUT = (
     "conv_id bigint, turn bigint, message_count int, user_turns int, tokens int, trigger string, summary_updated boolean, "
-    "summary string, amount string, time string, list_facts string, conflicts int, late boolean, late_count int"
+    "summary string, late boolean, late_count int"
 )
 STATE = "memory string"
-SCALARS = ("amount", "time")
-LISTS = ("relationship", "actor", "role", "event")
 SUMMARY_WORDS = list(dict.fromkeys(fv.SUMMARY_TOPICS + fv.SUMMARY_ISSUES + fv.SUMMARY_LAWS))
 
 
-def _score(fact: dict) -> float:
-    w = fv.FACT_SCORE_WEIGHTS
-    reliability = fv.SOURCE_RELIABILITY.get(fact["source"], fv.SOURCE_RELIABILITY["unknown"])
-    return round(
-        w["confidence"] * fact["confidence"] + w["source"] * reliability + w["recency"] * min(1.0, 0.5 + fact["turn"] / 20.0), 6
-    )
-
-
-def _merge(old: dict | None, new: dict) -> tuple[dict, bool]:
-    """(kept fact, conflict): the newer fact wins ties and keeps the larger confidence."""
-    if old is None:
-        return new, False
-    if old["value"] == new["value"]:
-        return (new if new["confidence"] > old["confidence"] else old), False
-    if _score(new) >= _score(old):
-        return {**new, "confidence": max(new["confidence"], old["confidence"])}, True
-    return old, True
-
-
 def _summary(window: list[dict]) -> str:
     """Summary of the window's messages, as ``memory.summaries`` words it."""
     said = {word for message in window for word in message["words"]}
@@ -67,27 +46,18 @@ def _summary(window: list[dict]) -> str:
 
 def fold(state: dict, message: dict) -> dict:
     """Take one message into ``state`` and return what is reported about it."""
-    late = state["last"] is not None and message["turn"] <= state["last"]
+    place = [message["turn"] is not None, message["turn"] or 0, message["role"] != "user"]
+    late = state["last"] is not None and place < state["last"]
     trigger, updated = "none", False
     if late:
         state["late"] += 1
     else:
-        state["last"] = int(message["turn"])
-        state["pair"] += message["role"] == "user"
+        state["last"] = place
         window = state["window"]
         window.append({k: message[k] for k in ("role", "tokens", "words", "question")})
         del window[: -2 * fv.MEMORY_MAX_TURNS]
         while window and sum(m["tokens"] for m in window) > fv.MEMORY_MAX_TOKENS:
             window.pop(0)
-        for key in SCALARS:
-            if message[key]:
-                new = {"value": message[key], "confidence": message["confidence"], "source": message["source"]}
-                kept, conflict = _merge(state["facts"].get(key), {**new, "turn": max(1, state["pair"])})
-                state["facts"][key] = kept
-                state["conflicts"] += conflict
-        for key in LISTS:
-            known = state["lists"].setdefault(key, [])
-            known.extend(v for v in message[f"{key}_facts"] if v not in known)
         if message["role"] == "assistant":
             users = sum(m["role"] == "user" for m in window)
             tokens = sum(m["tokens"] for m in window)
@@ -96,9 +66,7 @@ def fold(state: dict, message: dict) -> dict:
     report = {
         "turn": message["turn"], "message_count": len(window), "user_turns": sum(m["role"] == "user" for m in window),
         "tokens": sum(m["tokens"] for m in window), "trigger": trigger,
-        "amount": state["facts"].get("amount", {}).get("value"), "time": state["facts"].get("time", {}).get("value"),
-        "list_facts": json.dumps(state["lists"], ensure_ascii=False), "conflicts": state["conflicts"], "late": late,
-        "late_count": state["late"],
+        "late": late, "late_count": state["late"],
     }
     if trigger != "none":
         summary = _summary(window)
@@ -110,37 +78,33 @@ def fold(state: dict, message: dict) -> dict:
 
 
 def empty_state() -> dict:
-    return {"window": [], "facts": {}, "lists": {}, "summary": "", "pair": 0, "conflicts": 0, "late": 0, "last": None}
+    return {"window": [], "summary": "", "late": 0, "last": None}
 
 
 def update_conversation(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold what has arrived, in the order of turns; one output row per message."""
     kept = json.loads(state.get[0]) if state.exists else empty_state()
-    arrived = pd.concat(list(batches)).sort_values(["turn", "role"], kind="stable")
+    arrived = pd.concat(list(batches))
+    arrived["second"] = arrived["role"] != "user"
     rows = []
-    for record in arrived.to_dict("records"):
+    for record in arrived.sort_values(["turn", "second"], kind="stable", na_position="first").to_dict("records"):
         message = {k: (list(v) if hasattr(v, "tolist") and not isinstance(v, str) and getattr(v, "ndim", 0) else v) for k, v in record.items()}
-        message["tokens"], message["turn"] = int(message["tokens"]), int(message["turn"])
+        message["tokens"], message["turn"] = int(message["tokens"]), None if pd.isna(message["turn"]) else int(message["turn"])
         rows.append(fold(kept, message))
     state.update((json.dumps(kept, ensure_ascii=False),))
-    out = pd.DataFrame(rows)
-    out.insert(0, "conv_id", key[0])
+    out = pd.DataFrame(rows).astype({"turn": "Int64"})
+    out.insert(0, "conv_id", pd.array([key[0]] * len(out), "Int64"))
     yield out[[c.split()[0] for c in OUTPUT.split(", ")]]
 
 
 def prepared_messages(messages: DataFrame) -> DataFrame:
     """What the fold needs of each message; all regex and word matching stays in the JVM."""
-    facts = memory.extract_facts(F.col("text"))
     line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), tx.text_or_empty(F.col("text")))
     said = tx.strip(tx.text_or_empty(F.col("text")))
     asked = (F.col("role") == "user") & (said.endswith("？") | said.endswith("?"))
     return messages.select(
-        "conv_id", "turn", "role", tx.estimate_tokens(F.col("text")).alias("tokens"), facts.alias("f"),
+        "conv_id", "turn", "role", tx.estimate_tokens(F.col("text")).alias("tokens"),
         tx.matching_words(line, SUMMARY_WORDS).alias("words"), F.when(asked, said).alias("question"),
-    ).select(
-        "conv_id", "turn", "role", "tokens", "words", "question", *[F.col(f"f.{k}").alias(k) for k in SCALARS],
-        *[F.col(f"f.{k}").alias(f"{k}_facts") for k in LISTS], F.col("f.confidence").alias("confidence"),
-        memory.fact_source(F.col("role")).alias("source"),
     )
 
 

@@ -25,10 +25,26 @@ def chunk_stream(docs: DataFrame) -> DataFrame:
     return chunking.chunk_documents(docs)
 
 
-def run_to_table(stream: DataFrame, path: str, name: str, mode: str = "append") -> StreamingQuery:
-    """Process what is available and write parquet, exactly once per micro-batch."""
-    return (
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, path: str, name: str, mode: str = "append", rocksdb: bool = False) -> StreamingQuery:
+    """Process what is available and write parquet, exactly once per micro-batch.
+
+    ``rocksdb`` gives this query the state store that list and map state need; the session keeps its own.
+    """
+    spark = stream.sparkSession
+    writer = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", path)
-        .option("checkpointLocation", f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/{name}")
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+        .trigger(availableNow=True)
     )
+    if not rocksdb:
+        return writer.start()
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)

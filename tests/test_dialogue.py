@@ -1,12 +1,13 @@
 import random
 import uuid
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import fixed_values as fv
 from quillgraph.operators import evaluation, feedback, memory
-from quillgraph.streaming import conversation, ingest
+from quillgraph.streaming import conversation, facts, failures, ingest
 
 
 def fact(value, confidence, turn, source="user"):
@@ -74,12 +75,6 @@ def test_streaming_memory_equals_fold(spark, tmp_path):
     for conv in range(4):
         expected += window_after([(r[2], 0 if not r[3] else max(1, int(len(r[3]) * 0.6))) for r in rows if r[0] == conv])
     assert [(r["message_count"], r["user_turns"], r["tokens"], r["trigger"]) for r in got] == expected
-    batch = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    facts = {(r["conv_id"], r["key"]): r for r in memory.fold_facts(batch).collect()}
-    for r in [r for i, r in enumerate(got) if i + 1 == len(got) or got[i + 1]["conv_id"] != r["conv_id"]]:
-        for key in ("amount", "time"):
-            assert r[key] == (facts[r["conv_id"], key]["value"] if (r["conv_id"], key) in facts else None)
-        assert r["conflicts"] == sum(len(f["events"]) for (c, _), f in facts.items() if c == r["conv_id"])
 
 
 def test_streaming_memory_shrinks_only_for_a_new_summary(spark, tmp_path):
@@ -91,13 +86,79 @@ def test_streaming_memory_shrinks_only_for_a_new_summary(spark, tmp_path):
 
 
 def test_late_messages_are_passed_on(spark, tmp_path):
-    early, late = [(1, 4, "user", "5万元"), (1, 5, "assistant", "好")], [(1, 2, "user", "9万元"), (1, 6, "user", "再问？")]
+    early, late = [(1, 4, "user", "a"), (1, 5, "assistant", "b"), (1, 5, "user", "c")], [(1, 2, "user", "d"), (1, 6, "user", "e？"), (1, None, "user", "f"), (None, 1, "user", "g")]
     got = streamed(spark, [early, late], tmp_path, f"l{uuid.uuid4().hex}")
-    assert [(r["turn"], r["late"], r["amount"], r["late_count"]) for r in got] == [
-        (2, True, "5万元", 1), (4, False, "5万元", 0), (5, False, "5万元", 0), (6, False, "5万元", 1),
+    assert sorted((r["conv_id"] or 0, -1 if r["turn"] is None else r["turn"], r["late"], r["late_count"], r["message_count"]) for r in got) == [
+        (0, 1, False, 0, 1), (1, -1, True, 1, 3), (1, 2, True, 2, 3), (1, 4, False, 0, 1), (1, 5, False, 0, 2), (1, 5, False, 0, 3), (1, 6, False, 2, 4),
     ]
 
 
+FACT_SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def streamed_facts(spark, parts, folder, **options):
+    name = f"facts-{uuid.uuid4().hex}"
+    for part in parts:
+        spark.createDataFrame(part, FACT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(FACT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        ingest.run_to_table(facts.conversation_facts(stream, **options), f"{folder}/out", name, rocksdb=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fact_stream_equals_batch_in_any_order(spark, tmp_path, seed):
+    """Shuffled messages, cut into batches with a restart before each, with equal and null turns."""
+    rng = random.Random(seed)
+    rows = []
+    for conv in (1, 2, 3, None):
+        for turn in [*range(9), 4, 4, None]:
+            said = rng.choice(["", "甲公司 ", "违约 ", "租赁 "]) + rng.choice(["", f"{rng.randrange(1, 4)}万元", f"20{rng.randrange(10, 13)}年3月"])
+            rows.append((conv, turn, rng.choice(["user", "user", "assistant", None]), said))
+    frame = spark.createDataFrame(rows, FACT_SCHEMA)
+    rng.shuffle(rows)
+    cuts = sorted(rng.sample(range(1, len(rows)), 3))
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+    last = facts.latest(streamed_facts(spark, parts, tmp_path)).collect()
+    assert sorted(r["messages"] for r in last) == [12] * 4
+    made = {(r["conv_id"], f["key"]): (*f["kept"], [tuple(e) for e in f["events"]]) for r in last for f in r["facts"]}
+    batch = {(r["conv_id"], r["key"]): (r["value"], r["confidence"], r["source"], r["turn"], [tuple(e) for e in r["events"]]) for r in memory.fold_facts(frame).collect()}
+    assert made == batch
+    lists = {(r["conv_id"], x["key"], x["value"], x["first_turn"]) for r in last for x in r["lists"]}
+    assert {x[:3] for x in lists} == {(r["conv_id"], r["key"], r["value"]) for r in memory.list_facts(frame).collect()}
+    unnumbered = {(r["conv_id"], r["key"], r["value"]) for r in memory.list_facts(frame.filter("turn is null")).collect()}
+    numbered = {(r["conv_id"], r["key"], r["value"], r["first_turn"]) for r in memory.list_facts(frame.filter("turn is not null")).collect()}
+    assert lists == {(*x, None) for x in unnumbered} | {x for x in numbered if x[:3] not in unnumbered}
+
+
+def test_failures_are_recorded_once_however_late(spark, tmp_path):
+    schema = "ts timestamp, query string, failure_reason string"
+    at = lambda day, hour: datetime(2024, 5, day, hour)
+    parts = [
+        [(at(2, 9), "q", "slow"), (at(2, 8), "q", "slow"), (at(3, 1), "q", "slow")],
+        [(at(1, 5), "q", "slow"), (at(2, 7), "q", "slow"), (at(2, 7), "r", "slow"), (None, "q", "slow")],
+        [(at(1, 6), "q", "slow"), (None, "q", "slow"), (at(3, 2), "q", None), (at(3, 2), "q", "other")],
+    ]
+    name, out = f"failures-{uuid.uuid4().hex}", str(tmp_path / "out")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        failures.record_daily(stream, out, name).awaitTermination()
+    kind = failures.keyed_failures(spark.createDataFrame([], schema)).schema
+
+    def table():
+        return sorted(failures.recorded(spark, out, kind).select("day", "query", "failure_reason", "ts", "epoch").collect(), key=str)
+
+    got = table()
+    assert sorted((r["day"], r["query"], str(r["failure_reason"])) for r in got) == [
+        ("2024-05-01", "q", "slow"), ("2024-05-02", "q", "slow"), ("2024-05-02", "r", "slow"), ("2024-05-03", "q", "None"),
+        ("2024-05-03", "q", "other"), ("2024-05-03", "q", "slow"), ("unknown", "q", "slow"),
+    ]
+    assert {r["ts"] for r in got if (r["day"], r["query"]) == ("2024-05-02", "q")} == {at(2, 8)}
+    # a batch that runs again after a lost driver changes nothing
+    failures.record_batch(failures.keyed_failures(spark.createDataFrame(parts[1], schema)), 1, out)
+    assert table() == got
+
+
 def test_fact_fold_keeps_the_value_so_far(spark):
     rows = [
         (1, 0, "user", "租赁 甲公司 违约 5万元"), (1, 1, "assistant", "3万元"), (1, 2, "user", "3万元"), (1, 4, "user", "租赁 违约 甲公司 7万元"),

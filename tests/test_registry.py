@@ -19,7 +19,8 @@ CHECKED = [
     "chunk_law_articles", "dedup_exact", "dedup_statutes_greedy", "dedup_documents_greedy", "entity_mentions", "graph_edges",
     "graph_find_nodes", "bm25_topk", "bm25_topk_many", "bm25_stored_index", "vector_topk", "hash_embedding", "rrf_fusion", "evidence_dedupe", "citation_metadata",
     "strategy_route", "query_rewrite", "token_budget_window", "fact_extract", "conversation_summary", "eval_by_question_type",
-    "error_matrix_source_type", "failure_counts", "action_queue", "failure_archive_index",
+    "error_matrix_source_type", "failure_counts", "action_queue", "failure_archive_index", "stream_failures_daily",
+    "stream_conversation_facts", "reflection_rounds",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not mounted")
