@@ -7,7 +7,9 @@ nodes, the offsets and the neighbours.  A search goes down the levels greedily
 and widens on the lowest; the shards' results are merged.
 
 Largest inner product is searched as smallest distance: a further coordinate
-gives all vectors of a shard the same length.
+gives all vectors of a shard the same length.  So that this coordinate does not
+drown the others, a shard holds vectors of one band of lengths, a factor of two
+wide, and is scaled by its own power of two; queries have length one.
 """
 
 from __future__ import annotations
@@ -16,17 +18,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import cut_lineage
+from quillgraph.session import bound, cut_lineage
 
 SHARD_ROWS = 12_000
 LINKS = 16
 CANDIDATES = 96
 BREADTH = 128
 EXPANDED = 4
-QUERY_BLOCK = 2048
+#: Bytes of query vectors that meet a shard at once; a shard is copied once per so many.
+QUERY_BLOCK_BYTES = 64 << 20
 SEED = 11
 STEP = 512
 
@@ -43,6 +46,30 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.filter(~bad).filter(F.exists("v", lambda x: x != 0)).select("vec_id", F.size("v").alias("dim"), "v")
 
 
+def length_band(v: Column) -> Column:
+    """The nearest power of two of a vector's length, as an exponent; no square leaves the range of a double."""
+
+    def of(largest: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
+        return F.floor(F.log2(largest) + F.log2(squares) / 2 + 0.5).cast("int")
+
+    return bound(F.greatest(F.array_max(v), -F.array_min(v)), of)
+
+
+def scaled_points(vectors: np.ndarray) -> np.ndarray:
+    """The vectors as single-precision points of equal length: scaled by a power of two, with one coordinate more."""
+    exponent = int(np.frexp(np.abs(vectors).max())[1])
+    near_one = np.ldexp(vectors, -exponent)
+    length = np.einsum("ij,ij->i", near_one, near_one)
+    return np.concatenate([near_one, np.sqrt(np.maximum(length.max() - length, 0))[:, None]], 1).astype(np.float32)
+
+
+def unit_length(vectors: np.ndarray) -> np.ndarray:
+    """Each vector divided by its length, whatever its magnitude."""
+    near_one = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+    return near_one / np.sqrt(np.einsum("ij,ij->i", near_one, near_one))[:, None]
+
+
 def _nearest(points: np.ndarray, k: int) -> np.ndarray:
     """The ``k`` nearest other points of each point, nearest first, by blocked matrix products."""
     n = len(points)
@@ -115,8 +142,7 @@ def build_graph(vectors: np.ndarray) -> dict[str, np.ndarray]:
     tied on again, so that every node can be reached.
     """
     n = len(vectors)
-    length = np.einsum("ij,ij->i", vectors, vectors)
-    points = np.concatenate([vectors, np.sqrt(np.maximum(length.max() - length, 0))[:, None]], 1).astype(np.float32)
+    points = scaled_points(vectors)
     height = np.floor(-np.log(1 - np.random.default_rng(SEED).random(n)) / np.log(LINKS)).astype(int)
     nodes, offsets, neighbours, levels = [], [np.zeros(1, np.int64)], [], [0]
     for level in range(int(height.max()) + 1):
@@ -172,7 +198,7 @@ class Searcher:
     def search(self, queries: np.ndarray, breadth: int) -> np.ndarray:
         """For each query ``breadth`` near nodes (-1 where there are fewer), nearest first."""
         n = len(self.points)
-        queries = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
+        queries = np.concatenate([unit_length(queries), np.zeros((len(queries), 1))], 1).astype(np.float32)
         rows = np.arange(len(queries))
         top_place = self.layers[-1][1]
         here = np.full(len(queries), int(np.flatnonzero(top_place >= 0)[0]))
@@ -226,14 +252,16 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
 
     Every usable row is indexed.  Rows go to shards by a hash of their id and
     vector, so a vector that a third of all rows share is spread evenly; within
-    a shard equal vectors are one node with a list of ids.  Vectors of different
-    length go to different shards.
+    a shard equal vectors are one node with a list of ids; rows equal in id and
+    vector are dealt to shards evenly as well.  Vectors of different dimension or
+    band of lengths (``length_band``, 2,100 at most) go to different shards.
     """
-    rows = usable(vectors, vec_id, embedding)
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    dealt = rows.join(F.broadcast(sizes), "dim").select(
-        "dim", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int").alias("shard"), "vec_id", "v"
-    )
+    rows = usable(vectors, vec_id, embedding).withColumn("band", length_band(F.col("v")))
+    sizes = rows.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    before = F.sum("shards").over(Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("first", F.coalesce(before, F.lit(0)).cast("int"))
+    spread = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.col("shards")).cast("int")
+    dealt = rows.join(F.broadcast(sizes), ["dim", "band"]).select("dim", (F.col("first") + spread).alias("shard"), "vec_id", "v")
 
     def build(group):
         ids = group.column("vec_id").to_numpy()
@@ -260,13 +288,12 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
 
 def _load(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Searcher]:
     vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-    length = np.einsum("ij,ij->i", vectors, vectors)
     graph = {
         "nodes": np.frombuffer(row["nodes"], np.int32),
         "offsets": np.frombuffer(row["offsets"], np.int64),
         "neighbours": np.frombuffer(row["neighbours"], np.int32),
         "levels": np.frombuffer(row["levels"], np.int64),
-        "points": np.concatenate([vectors, np.sqrt(np.maximum(length.max() - length, 0))[:, None]], 1).astype(np.float32),
+        "points": scaled_points(vectors),
     }
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["member_offsets"], np.int64), vectors, Searcher(graph)
 
@@ -302,19 +329,20 @@ def search_index(
     vec_id: str = "vec_id",
     embedding: str = "embedding",
     breadth: int = BREADTH,
-    query_block: int = QUERY_BLOCK,
+    query_block: int | None = None,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` best over all shards of its dimension.
 
     Scores are inner products in double precision; ties go to the smaller id.
     A query row that is not usable, or meets no candidate, gives no rows; a
     repeated query id gives its rows once per row.  A task holds one shard and
-    one block of queries; blocks are cut by hash, so their number follows the
-    number of queries.
+    one block of queries, ``QUERY_BLOCK_BYTES`` of them if ``query_block`` names
+    no number; blocks are cut by hash, so their number follows the number of queries.
     """
     asked = usable(queries, vec_id, embedding).withColumnRenamed("vec_id", "query_id")
     asked = cut_lineage(asked.withColumn("number", F.monotonically_increasing_id()))
-    blocks = max(1, -(-asked.count() // query_block))
+    totals = asked.agg(F.count("*").alias("n"), F.sum(8 * F.col("dim")).alias("bytes")).first()
+    blocks = max(1, -(-totals["n"] // query_block) if query_block else -(-(totals["bytes"] or 0) // QUERY_BLOCK_BYTES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "number"), F.lit(blocks)).cast("int"))
     shards = index.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
     sent = asked.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))

@@ -44,6 +44,32 @@ def test_many_shards_and_lengths(spark):
     assert sum(len(found[q] & set(v)) for q, v in expected.items()) / 600 >= 0.9
 
 
+def unit_vectors():
+    vectors = np.random.default_rng(9).normal(size=(3000, 16))
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(
+    ("place", "factor"), [(17, 1e4), (17, 1e3), (slice(None), 1e-25), (slice(None), 1e25), (slice(0, 1500), 1e-200), (slice(None), 1e150)]
+)
+def test_recall_holds_at_any_length(spark, place, factor):
+    """One long vector, tiny and huge ones, two scales: lengths are no reason to miss a neighbour."""
+    vectors = unit_vectors()
+    vectors[place] *= factor
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    made = hnsw.search_index(hnsw.build_index(frame, shard_rows=1000), frame.filter("vec_id % 20 = 0"), 20)
+    found = made.toPandas().groupby("query_id")["vec_id"].apply(set)
+    expected = brute(list(range(3000)), vectors, range(0, 3000, 20), 20)
+    assert sum(len(found[q] & set(v)) for q, v in expected.items()) / (20 * len(expected)) >= 0.95
+
+
+def test_rows_equal_in_id_and_vector_are_spread(spark):
+    frame = spark.createDataFrame([(7, [1.0, 2.0])] * 900 + [(i, [i / 9, 1.0]) for i in range(8, 40)], "vec_id long, embedding array<double>")
+    index = hnsw.build_index(frame.repartition(4), shard_rows=200)
+    held = [len(np.frombuffer(r["ids"], np.int64)) for r in index.collect()]
+    assert sum(held) == 932 and max(held) < 400
+
+
 @pytest.mark.parametrize("copies", [3, 700])
 def test_copies_and_ties(spark, copies):
     rng = np.random.default_rng(copies)
