@@ -3,8 +3,8 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from quillgraph.llm import hyperdim, pu_toxicity, simhash
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from quillgraph.llm import hyperdim, pu_toxicity
+from tests.llm.test_shingle_copies import plain_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,9 +36,8 @@ def test_stages(spark, tmp_path):
         assert (doc_id in kept["toxicity"]) == (1 / (1 + 2.718281828459045 ** -score) < pu_toxicity.THRESHOLD)
 
     ids = sorted(before["simhash_dedup"])
-    groups = plain_components([plain_fingerprint(before["simhash_dedup"][i]) for i in ids])
+    groups = plain_groups([before["simhash_dedup"][i] for i in ids])
     assert set(kept["simhash_dedup"]) == {ids[g] for g in groups}
-    assert simhash.RADIUS == 4
 
     sequences = defaultdict(int)
     for r in docs.collect():
