@@ -8,8 +8,8 @@ by the same expression as in batch (``memory.folded``), so the last version of
 a conversation depends on its messages and not on their order of arrival.
 
 A null turn stands before all others.  The state is of the RocksDB kind
-(``ingest.run_to_table(..., rocksdb=True)``) and follows what was stated, in
-short rows; with ``idle_ms`` the store lets go of entries not touched for so long.
+(``ingest.run_to_table(..., rocksdb=True)``); it follows what was stated, in
+short rows, and is kept as long as the stream.
 """
 
 from __future__ import annotations
@@ -36,15 +36,12 @@ NO_TURN = -(1 << 63)
 class FactState(StatefulProcessor):
     """Gathers what a conversation stated; every batch with messages of it gives one new version."""
 
-    def __init__(self, idle_ms: int | None = None):
-        self.idle_ms = idle_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.stated = handle.getListState("stated", STATED, self.idle_ms)
-        self.users = handle.getMapState("users", "turn bigint", "n int", self.idle_ms)
-        self.lists = handle.getMapState("lists", "key string, value string", FIRST, self.idle_ms)
-        self.version = handle.getValueState("version", VERSION, self.idle_ms)
+        self.stated = handle.getListState("stated", STATED)
+        self.users = handle.getMapState("users", "turn bigint", "n int")
+        self.lists = handle.getMapState("lists", "key string, value string", FIRST)
+        self.version = handle.getValueState("version", VERSION)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         messages, version = self.version.get() or (0, 0)
@@ -91,7 +88,7 @@ def fact_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def conversation_facts(messages: DataFrame, idle_ms: int | None = None, strategy: str = "confidence_weighted") -> DataFrame:
+def conversation_facts(messages: DataFrame, strategy: str = "confidence_weighted") -> DataFrame:
     """Message stream (conv_id, turn, role, text) -> one row per conversation and micro-batch that touched it.
 
     ``facts`` has an entry per scalar fact (key, value, confidence, source,
@@ -99,7 +96,7 @@ def conversation_facts(messages: DataFrame, idle_ms: int | None = None, strategy
     the largest ``version`` of a conversation is its present state.
     """
     kept = fact_messages(messages).groupBy("conv_id").transformWithState(
-        FactState(idle_ms), OUTPUT, "Append", "ProcessingTime" if idle_ms is not None else "None"
+        FactState(), OUTPUT, "Append", "None"
     )
 
     def of_key(key: str):
