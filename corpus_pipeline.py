@@ -50,6 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of documents that links of near copies reach one stays: the smallest id, null last, then the first row.
 
     Near copies have a Jaccard similarity of 0.8 or more between their sets of five-word shingles.
+    SimHash fingerprints propose them, bands of minimum hashes those beyond its radius; all are verified.
     """
     numbered = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
     rows = numbered.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))

@@ -1,10 +1,12 @@
 """Near copies by the Jaccard similarity of word shingles, verified exactly.
 
-Candidates come from bands of minimum hashes: two texts whose sets of shingles
-have similarity ``s`` share a band with probability ``1 - (1 - s**DEPTH)**BANDS``,
-which is 0.99997 at 0.8.  A 64-bit SimHash cannot propose such pairs: about ten
-of its bits differ at 0.8, and blocks for a radius of ten or more meet nearly
-everything.  Every candidate is verified on the whole sets.
+Candidates come from SimHash fingerprints of the sets within the radius of
+``simhash``.  Those reach down to a similarity of about 0.95: about ten of 64
+bits differ at 0.8, and blocks for a radius of ten or more meet nearly
+everything.  What lies between comes from bands of minimum hashes: two texts
+whose sets of shingles have similarity ``s`` share a band with probability
+``1 - (1 - s**DEPTH)**BANDS``, which is 0.99997 at 0.8.  Every candidate is
+verified on the whole sets.
 
 Texts with equal sets are one node.  Members of a band first meet only the
 band's smallest node, so a large group of copies costs one comparison each.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.arrow import map_slices
 from quillgraph.llm.lookup import hot_lookup
-from quillgraph.llm.simhash import LOWER, components
+from quillgraph.llm.simhash import LOWER, components, majority, near_links
 from quillgraph.session import cut_lineage
 
 SHINGLE = 5
@@ -80,7 +82,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = SIMILAR) -> b
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """``row, high, low, size, keys``: 128 bits that stand for the set, its size and its bands."""
+    """``row, high, low, size, fp, keys``: 128 bits that stand for the set, its size, its SimHash and its bands."""
 
     def make():
         def apply(part: pa.RecordBatch) -> dict:
@@ -94,12 +96,13 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 "high": pa.array(marks[:, 0]),
                 "low": pa.array(marks[:, 1]),
                 "size": pa.array([len(s) for s in sets], pa.int64()),
+                "fp": pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
                 "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
             }
 
         return apply
 
-    return map_slices(rows, "text", "row bigint, high bigint, low bigint, size bigint, keys array<bigint>", make)
+    return map_slices(rows, "text", "row bigint, high bigint, low bigint, size bigint, fp bigint, keys array<bigint>", make)
 
 
 def parted(rows: DataFrame, ids: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
@@ -128,6 +131,20 @@ def _may_be_similar(a: Column, b: Column) -> Column:
     return SIMILAR[1] * F.least(a, b) >= SIMILAR[0] * F.greatest(a, b)
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """``a, b`` of ``node, size, fp``: the first node of a fingerprint with its others and with the first of each linked fingerprint."""
+    first = F.min(F.struct("node", "size")).alias("first")
+    firsts = nodes.groupBy("fp").agg(F.count("*").alias("n"), first)
+    firsts = cut_lineage(firsts.select("fp", "n", F.col("first.node").alias("a"), F.col("first.size").alias("a_size")))
+    same = hot_lookup(nodes, firsts.filter("n > 1"), ["fp"], "n").select("a", "a_size", "node", "size")
+    links = cut_lineage(near_links(firsts.select("fp"))).withColumnsRenamed({"a": "fp", "b": "least"})
+    centres = firsts.select(F.col("fp").alias("least"), "a", "a_size")
+    ends = firsts.select("fp", F.col("a").alias("node"), F.col("a_size").alias("size"))
+    across = links.join(ends, "fp").join(centres, "least").select("a", "a_size", "node", "size")
+    pairs = same.unionByName(across).filter("a <> node").filter(_may_be_similar(F.col("size"), F.col("a_size")))
+    return pairs.select("a", F.col("node").alias("b"))
+
+
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of rows that are similar.
 
@@ -288,7 +305,8 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     shared = cut_lineage(shared.select("key", "n", F.col("first.node").alias("centre"), F.col("first.size").alias("centre_size")))
     others = cut_lineage(hot_lookup(met, shared, ["key"], "n").filter("node <> centre"))
     pairs = others.filter(_may_be_similar(F.col("size"), F.col("centre_size")))
-    pairs = cut_lineage(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    proposed = _by_fingerprint(alone.filter("size > 0").select(F.col("row").alias("node"), "size", "fp"))
+    pairs = cut_lineage(proposed.unionByName(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"))).distinct())
     texts = _texts(rows, cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()))
     labels = components(_near(pairs, texts))
     links = _open_links(others, labels, texts, rows)

@@ -48,7 +48,11 @@ def fingerprint(text: str) -> int:
     last = min(SHINGLE, len(words)) - 1
     ends = (starts + lengths)[last:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends)], np.uint64)
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set; none of no hashes."""
     by_byte = hashes.view(np.uint8).reshape(-1, 8) + 256 * np.arange(8)
     votes = np.bincount(by_byte.ravel(), minlength=2048).reshape(8, 256) @ BITS
     return int.from_bytes(np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").tobytes(), "little")

@@ -47,6 +47,16 @@ def test_threshold_is_exact(spark):
     assert kept(spark, [(1, words(*base)), (2, words(*below))]) == [1, 2]
 
 
+def test_fingerprints_propose(spark, monkeypatch):
+    """Without bands, SimHash still finds copies within its radius, and verifies them."""
+    monkeypatch.setattr(shingle_copies, "bands", lambda hashes: np.zeros(0, np.int64))
+    rows = [(i, words(*range(1000 * (i // 3), 1000 * (i // 3) + 600 + i % 3))) for i in range(12)] + [(90, None), (91, "alone")]
+    assert kept(spark, rows) == [0, 3, 6, 9, 90, 91]
+    # one fingerprint, but no similar sets
+    monkeypatch.setattr(shingle_copies, "majority", lambda hashes: 7)
+    assert kept(spark, [(i, words(*range(50 * i, 50 * i + 30))) for i in range(5)]) == [0, 1, 2, 3, 4]
+
+
 def test_chain_is_one_group(spark):
     rows = [(i, words(*range(3 * i, 3 * i + 100))) for i in range(60)]
     assert kept(spark, rows) == [0]
