@@ -1,4 +1,8 @@
-"""Byte-level BPE ids, one encoding per new segment.
+"""Byte-level BPE ids of whole texts.
+
+Texts of plain characters go whole to ``tiktoken`` with the ranks of the
+tokenizer's own vocabulary: both libraries split them alike and merge the pair
+of lowest rank first, and nothing of them is remembered.  All others are cut.
 
 No merge crosses the start of white space, nor the end of a run of letters
 and digits before punctuation, because the pre-tokenizer always cuts there.  So
@@ -6,9 +10,7 @@ a text is cut at those places and the ids of its segments are looked up; only
 segments not met before are encoded.  Two tables take turns, so that what is in
 use stays known while memory is bounded.
 
-New segments of plain characters are encoded by ``tiktoken`` with the ranks of
-the tokenizer's own vocabulary, which merges faster than ``tokenizers`` and to
-the same ids: both merge the pair of lowest rank first.  All others (special
+New segments of plain characters go to ``tiktoken`` too.  All others (special
 tokens, other scripts, whose classes may differ between Unicode versions, other
 white space) go through ``tokenizers``.
 """
@@ -30,6 +32,9 @@ MARKS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 SEGMENT = re.compile(f"[{WHITE}]*(?:[^\\W_]++(?=[{MARKS}])|[^{WHITE}]+)|[{WHITE}]+")
 #: Segments that both libraries split alike: a blank at most, then printable ASCII and Latin letters.
 PLAIN = re.compile(" ?[!-~\xa1-\xac\xae-\u024f]+")
+#: Texts that both libraries split alike as a whole; longer ones are cut, since splitting a run of white space may backtrack.
+WHOLE = re.compile("[ \t\n\r!-~\xa1-\xac\xae-\u024f]*+")
+WHOLE_CHARS = 1 << 18
 #: Fixed value: how a byte-level pre-tokenizer splits a text.
 SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_SEGMENTS = 100_000
@@ -79,6 +84,17 @@ class SegmentIds:
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [self._is_whole(text) for text in texts]
+        others = iter(self._by_segment([text for text, is_whole in zip(texts, whole, strict=True) if not is_whole]))
+        return [
+            np.array(self.ranked.encode_ordinary(text), "<u4") if is_whole else next(others)
+            for text, is_whole in zip(texts, whole, strict=True)
+        ]
+
+    def _is_whole(self, text: str) -> bool:
+        return bool(self.ranked and len(text) <= WHOLE_CHARS and "<|" not in text and WHOLE.fullmatch(text))
+
+    def _by_segment(self, texts: list[str]) -> list[np.ndarray]:
         cut = [SEGMENT.findall(text) for text in texts]
         if len(self.known) >= CACHED_SEGMENTS:
             self.older, self.known = self.known, {}

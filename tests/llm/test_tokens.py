@@ -57,6 +57,28 @@ def test_segments_equal_whole_text(text):
     assert segment_ids(BYTES).encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(list("  \n\t\rThe.in's é1²ª<|>")), max_size=60))
+def test_plain_texts_equal_library(text):
+    from tokenizers import Tokenizer
+
+    whole = test_plain_texts_equal_library.__dict__.setdefault("whole", Tokenizer.from_file(BYTES))
+    assert segment_ids(BYTES).encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_plain_texts_are_not_remembered():
+    from tokenizers import Tokenizer
+
+    from quillgraph.llm.tokens import WHOLE_CHARS, SegmentIds
+
+    encoder, whole = SegmentIds(BYTES), Tokenizer.from_file(BYTES)
+    texts = ["It's a plain text,\n with   white space\t\tand 12 cafés. ", "", "\n \n", "東京 is 'not' plain", "a <|endoftext|> b", " " * WHOLE_CHARS + "long"]
+    made = encoder.encode(texts[:3])
+    assert not encoder.known
+    made += encoder.encode(texts[3:])
+    assert [ids.tolist() for ids in made] == [whole.encode(text, add_special_tokens=False).ids for text in texts]
+
+
 def test_piece_query_equals_library(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id")["text"]
     made = registry.op8_piece_backtracking(spark, SF).toPandas().set_index("doc_id")
