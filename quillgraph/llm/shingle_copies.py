@@ -19,6 +19,7 @@ only until they are connected; a part sends on a spanning forest, never pairs.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.arrow import map_slices
 from quillgraph.llm.lookup import hot_lookup
 from quillgraph.llm.simhash import LOWER, components, majority, near_links
-from quillgraph.session import cut_lineage
+from quillgraph.session import arrow_rows, cut_lineage
 
 SHINGLE = 5
 #: Similarity from which texts are copies, as numerator and denominator.
@@ -40,6 +41,8 @@ PART_HASHES = 1 << 18
 PART_ROWS = 4096
 #: Members of one centre that a task compares with it.
 CENTRE_ROWS = 4096
+#: Texts or sets that Python is handed at once.
+BATCH_ROWS = 512
 #: Size of the bit field that spares most rows a shuffle; a fuller field only spares fewer.
 FIELD_BITS = 1 << 25
 
@@ -106,7 +109,10 @@ def _sketches(rows: DataFrame) -> DataFrame:
 
 
 def parted(rows: DataFrame, ids: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that may be among ``ids`` and rows that are not, told by one bit of a field of fixed size."""
+    """Rows that may be among ``ids`` and rows that are not, told by one bit of a field of fixed size.
+
+    Python sees the places of the bits alone; texts stay where they are.
+    """
     place = F.pmod(F.xxhash64(F.col(row)), F.lit(FIELD_BITS))
     spots = ids.select(place.alias("at")).select(F.shiftright("at", 5).cast("int").alias("word"), (F.col("at") % 32).cast("int").alias("bit"))
     set_bits = spots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
@@ -114,16 +120,13 @@ def parted(rows: DataFrame, ids: DataFrame, row: str) -> tuple[DataFrame, DataFr
     field[set_bits.column("word").to_numpy()] = set_bits.column("bits").to_numpy().astype(np.uint32)
     sent = rows.sparkSession.sparkContext.broadcast(field)
 
-    def side(wanted: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                at = batch.column("__at").to_numpy()
-                found = (sent.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-                yield batch.drop_columns(["__at"]).filter(pa.array(found == wanted))
-
-        return rows.withColumn("__at", place).mapInArrow(run, rows.schema)
+    @F.pandas_udf("boolean")
+    def found(at: pd.Series) -> pd.Series:
+        spot = at.to_numpy()
+        return pd.Series((sent.value[spot >> 5] >> (spot & 31).astype(np.uint32) & np.uint32(1)).astype(bool))
 
-    return side(True), side(False)
+    told = rows.withColumn("__found", found(place))
+    return told.filter("__found").drop("__found"), told.filter("not __found").drop("__found")
 
 
 def _may_be_similar(a: Column, b: Column) -> Column:
@@ -296,6 +299,11 @@ def copy_groups(rows: DataFrame) -> DataFrame:
 
     ``rows`` has ``row`` (bigint, distinct) and ``text``.  Null texts have no words, like empty ones; all of these are one group.
     """
+    with arrow_rows(rows.sparkSession, BATCH_ROWS):
+        return _copy_groups(rows)
+
+
+def _copy_groups(rows: DataFrame) -> DataFrame:
     sketches = cut_lineage(_sketches(rows))
     nodes = cut_lineage(sketches.groupBy("high", "low").agg(F.min("row").alias("node"), F.count("*").alias("n")))
     alone = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")

@@ -57,6 +57,17 @@ def test_fingerprints_propose(spark, monkeypatch):
     assert kept(spark, [(i, words(*range(50 * i, 50 * i + 30))) for i in range(5)]) == [0, 1, 2, 3, 4]
 
 
+def test_texts_are_not_sent_to_be_parted(spark):
+    """Python is handed one number per row, whatever the rows hold; both sides together are all rows."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "row long, text string")
+    some, rest = shingle_copies.parted(rows, rows.filter("row % 7 = 0").select("row"), "row")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "found(pmod(" in plan
+    made, others = some.collect(), rest.collect()
+    assert {r["row"] for r in made} >= set(range(0, 50, 7)) and made[0].asDict() in [r.asDict() for r in rows.collect()]
+    assert sorted(r["row"] for r in made + others) == list(range(50))
+
+
 def test_chain_is_one_group(spark):
     rows = [(i, words(*range(3 * i, 3 * i + 100))) for i in range(60)]
     assert kept(spark, rows) == [0]
