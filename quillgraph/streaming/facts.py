@@ -1,8 +1,9 @@
 """Facts of conversations as keyed state that takes late messages in their place.
 
-The state of a conversation holds what was stated (list), how many user
-messages each turn had (map) and where each list-valued fact was first said
-(map).  A message that comes late, or twice in one turn, is put where its turn
+The state of a conversation holds what was stated, how many user messages
+each turn had and where each list-valued fact was first said.  All of it is
+needed for every new version, so it is one value: a conversation is read and
+written once a batch, whatever its messages say.  A message that comes late, or twice in one turn, is put where its turn
 and role belong; what the conversation's facts come to is then worked out anew
 by the same expression as in batch (``memory.folded``), so the last version of
 a conversation depends on its messages and not on their order of arrival.
@@ -16,18 +17,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillgraph.functions import text as tx
 from quillgraph.operators import memory
+from quillgraph.session import bound, compute_once
 
 STATED = "at bigint, second int, key string, value string, confidence double, source string"
-VERSION = "messages bigint, version bigint"
-FIRST = "at bigint, second int, place int"
+USERS = "turn bigint, n int"
+LISTS = "at bigint, second int, place int, key string, value string"
+
+
+def _array(fields: str, more: str = "") -> str:
+    return f"array<struct<{fields.replace(', ', ',').replace(' ', ':')}{more}>>"
+
+
+STATE = f"messages bigint, version bigint, stated {_array(STATED)}, users {_array(USERS)}, lists {_array(LISTS)}"
 OUTPUT = (
-    f"conv_id bigint, version bigint, messages bigint, stated array<struct<{', '.join(f.replace(' ', ':') for f in STATED.split(', '))},pair:int>>, "
+    f"conv_id bigint, version bigint, messages bigint, stated {_array(STATED, ',pair:int')}, "
     "lists array<struct<key:string,value:string,first_turn:bigint>>"
 )
 NO_TURN = -(1 << 63)
@@ -37,42 +46,33 @@ class FactState(StatefulProcessor):
     """Gathers what a conversation stated; every batch with messages of it gives one new version."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.stated = handle.getListState("stated", STATED)
-        self.users = handle.getMapState("users", "turn bigint", "n int")
-        self.lists = handle.getMapState("lists", "key string, value string", FIRST)
-        self.version = handle.getValueState("version", VERSION)
+        self.state = handle.getValueState("facts", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        messages, version = self.version.get() or (0, 0)
-        users, fresh = {}, []
+        messages, version, *before = self.state.get() or (0, 0, [], [], [])
+        stated, counted, listed = ([tuple(x) for x in part] for part in before)
+        users, lists = dict(counted), {x[3:]: x[:3] for x in listed}
         for row in rows:
             messages += 1
             at, second = NO_TURN if row.turn is None else row.turn, 0 if row.role == "user" else 1
             if row.role == "user":
                 users[at] = users.get(at, 0) + 1
-            fresh += [(at, second, k, row[k], row.confidence, row.source) for k in memory.SCALAR_FACTS if row[k] is not None]
+            stated += [(at, second, k, row[k], row.confidence, row.source) for k in memory.SCALAR_FACTS if row[k] is not None]
             for k in memory.LIST_FACTS:
                 for place, value in enumerate(row[f"{k}_facts"]):
-                    known = self.lists.getValue((k, value))
-                    if known is None or (at, second, place) < tuple(known):
-                        self.lists.updateValue((k, value), (at, second, place))
-        for turn, n in users.items():
-            self.users.updateValue((turn,), ((self.users.getValue((turn,)) or (0,))[0] + n,))
-        if fresh:
-            self.stated.appendList(fresh)
-        self.version.update((messages, version + 1))
-        yield self._row(key, version + 1, messages)
-
-    def _row(self, key: tuple, version: int, messages: int) -> Row:
-        counts = sorted((turn[0], n[0]) for turn, n in self.users.iterator())
+                    lists[k, value] = min(lists.get((k, value), (at, second, place)), (at, second, place))
+        stated.sort()
+        counts, firsts = sorted(users.items()), sorted((*first, *name) for name, first in lists.items())
+        self.state.update((messages, version + 1, stated, counts, firsts))
+        yield self._row(key, version + 1, messages, stated, counts, firsts)
+
+    def _row(self, key: tuple, version: int, messages: int, facts: list[tuple], counts: list[tuple], firsts: list[tuple]) -> Row:
         stated, pair, at = [], 0, 0
-        for fact in sorted(tuple(f) for f in self.stated.get()):
+        for fact in facts:
             while at < len(counts) and counts[at][0] <= fact[0]:
                 pair, at = pair + counts[at][1], at + 1
             stated.append((None if fact[0] == NO_TURN else fact[0], *fact[1:], max(1, pair)))
-        firsts = sorted((tuple(first), tuple(name)) for name, first in self.lists.iterator())
-        lists = [(k, value, None if first[0] == NO_TURN else first[0]) for first, (k, value) in firsts]
+        lists = [(k, value, None if first == NO_TURN else first) for first, _, _, k, value in firsts]
         return Row(conv_id=key[0], version=version, messages=messages, stated=stated, lists=lists)
 
     def close(self) -> None:
@@ -80,8 +80,12 @@ class FactState(StatefulProcessor):
 
 
 def fact_messages(messages: DataFrame) -> DataFrame:
-    """What the state needs of each message; extraction stays in the JVM."""
-    return messages.select("conv_id", "turn", "role", memory.extract_facts(F.col("text")).alias("f")).select(
+    """What the state needs of each message; extraction stays in the JVM.
+
+    A batch may be one file, so its messages are dealt out before they are read.
+    """
+    dealt = messages.select("conv_id", "turn", "role", "text").repartition(F.xxhash64("conv_id", "turn"))
+    return compute_once(dealt, f=memory.extract_facts(F.col("text"))).select(
         "conv_id", "turn", "role", *[F.col(f"f.{k}").alias(k) for k in memory.SCALAR_FACTS],
         *[F.col(f"f.{k}").alias(f"{k}_facts") for k in memory.LIST_FACTS], F.col("f.confidence").alias("confidence"),
         memory.fact_source(F.col("role")).alias("source"),
@@ -100,12 +104,14 @@ def conversation_facts(messages: DataFrame, strategy: str = "confidence_weighted
     )
 
     def of_key(key: str):
-        own = F.filter("stated", lambda s: s["key"] == key)
-        facts = F.transform(
-            own, lambda s: F.struct(s["at"].alias("at"), s["second"].alias("second"), F.struct(s["value"], s["confidence"], s["source"], s["pair"].alias("turn")).alias("fact"))
-        )
-        result = memory.folded(facts, strategy)
-        return F.when(F.size(own) > 0, F.struct(F.lit(key).alias("key"), result["kept"].alias("kept"), result["events"].alias("events")))
+        def of_stated(own: Column) -> Column:
+            facts = F.transform(
+                own, lambda s: F.struct(s["at"].alias("at"), s["second"].alias("second"), F.struct(s["value"], s["confidence"], s["source"], s["pair"].alias("turn")).alias("fact"))
+            )
+            one = bound(memory.folded(facts, strategy), lambda r: F.struct(F.lit(key).alias("key"), r["kept"].alias("kept"), r["events"].alias("events")))
+            return F.when(F.size(own) > 0, one)
+
+        return bound(F.filter("stated", lambda s: s["key"] == key), of_stated)
 
     facts = F.array_compact(F.array(*[of_key(k) for k in memory.SCALAR_FACTS]))
     return kept.select("conv_id", "version", "messages", facts.alias("facts"), "lists")

@@ -3,6 +3,7 @@ import uuid
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillgraph.functions import fixed_values as fv
@@ -130,6 +131,37 @@ def test_fact_stream_equals_batch_in_any_order(spark, tmp_path, seed):
     assert lists == {(*x, None) for x in unnumbered} | {x for x in numbered if x[:3] not in unnumbered}
 
 
+def test_fact_state_is_read_and_written_once_a_batch():
+    """However much a conversation states in a batch."""
+    calls, held = [], {}
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return held.get("value")
+
+        def update(self, value):
+            calls.append("update")
+            held["value"] = value
+
+    state = facts.FactState()
+    state.init(Handle())
+    said = lambda turn, amount, actor: Row(turn=turn, role="user", amount=amount, time=None, confidence=0.5, source="user", relationship_facts=[], actor_facts=actor, role_facts=[], event_facts=[])
+    list(state.handleInputRows((1,), iter([said(t, f"{t}元", ["甲公司", f"乙{t}"]) for t in range(2, 9)]), None))
+    late = next(iter(state.handleInputRows((1,), iter([said(0, "5元", ["甲公司"])]), None)))
+    assert calls == ["get", "update"] * 2
+    assert (late.version, late.messages, late.stated[0], late.lists[0]) == (2, 8, (0, 0, "amount", "5元", 0.5, "user", 1), ("actor", "甲公司", 0))
+
+
+def test_messages_of_one_file_are_dealt_out(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "3万元")], FACT_SCHEMA).coalesce(1)
+    plan = facts.fact_messages(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count("regexp_extract_all") <= 4
+
+
 def test_failures_are_recorded_once_however_late(spark, tmp_path):
     schema = "ts timestamp, query string, failure_reason string"
     at = lambda day, hour: datetime(2024, 5, day, hour)
