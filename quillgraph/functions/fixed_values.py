@@ -17,6 +17,8 @@ HEADER_LINE_PATTERNS = [
     r"^中国裁判文书网.+$",
     r"^（?以下称.+）?$",
 ]
+#: First characters of all lines that the patterns above match.
+NOISE_LINE_STARTS = ["第", "页", "P", "p", "中", "最", "（", "以"]
 TEMPLATE_LINES = ["本页无正文", "以下无正文", "特此公告", "以上事实，有证据在卷佐证。"]
 ASCII_PUNCTUATION = ",;:?!()"
 FULLWIDTH_PUNCTUATION = "，；：？！（）"

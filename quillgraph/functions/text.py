@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillgraph.functions import fixed_values as fv
+from quillgraph.session import bound
 
 SPACE = r"[\s\x1C-\x1F]"
 CJK = "[\\x{4e00}-\\x{9fff}]"
@@ -25,7 +26,8 @@ def strip(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"(?U){SPACE}+", " "))
+    """Runs of white space become one blank; a single blank is no match, so most text is only read."""
+    return F.trim(F.regexp_replace(c, f"(?U)[{SPACE}&&[^ ]]{SPACE}*| {SPACE}+", " "))
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
@@ -64,10 +66,11 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
 
 # --- cleaning --------------------------------------------------------------------
 def noise_line(line: Column) -> Column:
-    """Blank lines, page numbers and running headers."""
+    """Blank lines, page numbers and running headers; the patterns are tried on lines that start like one of them."""
     page = "|".join(f"(?:{p})" for p in fv.PAGE_LINE_PATTERNS)
     header = "|".join(f"(?:{p})" for p in fv.HEADER_LINE_PATTERNS)
-    return (line == "") | line.rlike(f"(?Uid)(?:{page})") | line.rlike(f"(?Ud)(?:{header})")
+    may_be = F.substring(line, 1, 1).isin(fv.NOISE_LINE_STARTS)
+    return (line == "") | (may_be & (line.rlike(f"(?Uid)(?:{page})") | line.rlike(f"(?Ud)(?:{header})")))
 
 
 def clean_document_text(c: Column, title: Column | None = None) -> Column:
@@ -87,7 +90,7 @@ def clean_document_text(c: Column, title: Column | None = None) -> Column:
     lines = F.filter(lines, lambda line: ~noise_line(line) & ~line.isin(fv.TEMPLATE_LINES))
     if title is not None:
         heading = collapse_space(text_or_empty(title))
-        lines = F.filter(lines, lambda line: (heading == "") | (line != heading))
+        lines = bound(heading, lambda h: F.filter(lines, lambda line: (h == "") | (line != h)))
     out = F.array_join(F.array_distinct(lines), "\n")
     out = F.regexp_replace(out, f"([{fv.COLLAPSIBLE_FULLWIDTH}])\\1+", "$1")
     return strip(F.regexp_replace(out, "[ ]{2,}", " "))

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions import fixed_values as fv
 from quillgraph.functions import ids, rules
 from quillgraph.functions import text as tx
 from quillgraph.functions import vectors as vx
@@ -127,3 +128,24 @@ def test_sentences_match_plain_split(spark):
     text = "One. Two!  三。四；\n five"
     expected = [p.strip() for p in re.split(r"(?<=[.!?。！？；;])\s*", text) if p.strip()]
     assert one(spark, text, tx.sentences) == expected
+
+
+def test_collapse_space_equals_plain_replacement(spark):
+    import itertools
+    import re
+
+    marks = ["a", " ", "\t", "\x1c", "\u3000", "\xa0"]
+    texts = ["".join(t) for n in range(1, 6) for t in itertools.product(marks[: 6 if n < 5 else 4], repeat=n)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.collapse_space(F.col("t")).alias("c"))
+    assert all(r["c"] == re.sub(r"\s+", " ", r["t"]).strip(" ") for r in frame.collect())
+    # a single blank is left alone instead of being replaced by itself
+    assert "| [" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_noise_lines_start_as_listed(spark):
+    lines = {"第 3 页 共9页": True, "页码：12": True, "pAGE 3 / 4": True, "Page3": True, "中华人民共和国刑法": True, "最高人民法院公报": True,
+             "中国裁判文书网1": True, "（以下称甲方）": True, "以下称乙方": True, "": True, "第3条": False, "Pages": False, "正文 第3页": False, "中国": False}
+    frame = spark.createDataFrame([(t,) for t in lines], "t string")
+    assert {r["t"]: r["n"] for r in frame.select("t", tx.noise_line(F.col("t")).alias("n")).collect()} == lines
+    patterns = [p.lstrip("^").removeprefix("（?") for p in fv.PAGE_LINE_PATTERNS + fv.HEADER_LINE_PATTERNS]
+    assert {p[0] for p in patterns} <= set(fv.NOISE_LINE_STARTS)
