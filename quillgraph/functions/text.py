@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -209,32 +210,43 @@ def _without_country(c: Column) -> Column:
 
 def normalize_article_name(article: Column, default_law: Column | None = None) -> Column:
     """``law + article`` in short form; text without an article is only stripped."""
-    cleaned = _without_country(strip(text_or_empty(article)))
-    number = F.regexp_extract(cleaned, fv.ARTICLE_PATTERN, 0)
     fallback = law_short_name(text_or_empty(default_law)) if default_law is not None else F.lit("")
-    prefix = first_value(cleaned, [(name, name) for name in fv.ARTICLE_LAWS], fallback)
-    return F.when(number == "", cleaned).otherwise(F.concat(prefix, number))
+
+    def named(cleaned: Column) -> Column:
+        number = F.regexp_extract(cleaned, fv.ARTICLE_PATTERN, 0)
+        prefix = first_value(cleaned, [(name, name) for name in fv.ARTICLE_LAWS], fallback)
+        return F.when(number == "", cleaned).otherwise(F.concat(prefix, number))
+
+    return bound(_without_country(strip(text_or_empty(article))), named)
 
 
 def normalize_articles_in_text(c: Column, default_law: Column) -> Column:
     """Rewrite every article reference inside a text to its short form."""
     any_law = "|".join(fv.ARTICLE_LAWS)
-    out = text_or_empty(c)
-    for law in fv.ARTICLE_LAWS:
-        out = F.regexp_replace(
-            out, f"(?:《?{fv.COUNTRY}(?:{any_law})》?)?{law}({fv.ARTICLE_PATTERN})", f"{law}$1"
+
+    def shortened(law: str, text: Column) -> Column:
+        short = F.regexp_replace(
+            text, f"(?:《?{fv.COUNTRY}(?:{any_law})》?)?{law}({fv.ARTICLE_PATTERN})", f"{law}$1"
         )
-        out = F.regexp_replace(
-            out, f"《?{fv.COUNTRY}{law}》?(?:{any_law})?({fv.ARTICLE_PATTERN})", f"{law}$1"
+        short = F.regexp_replace(
+            short, f"《?{fv.COUNTRY}{law}》?(?:{any_law})?({fv.ARTICLE_PATTERN})", f"{law}$1"
         )
-    bare = f"(?<!{'|'.join(fv.ARTICLE_LAWS)}){fv.ARTICLE_PATTERN}"
+        return F.when(text.contains(law), short).otherwise(text)
+
+    out = text_or_empty(c)
+    for law in fv.ARTICLE_LAWS:
+        out = bound(out, partial(shortened, law))
+    # the first character is looked at before what stands before it
+    bare = f"(?={fv.ARTICLE_PATTERN[0]})(?<!{'|'.join(fv.ARTICLE_LAWS)}){fv.ARTICLE_PATTERN}"
     return F.regexp_replace(out, F.lit(bare), F.concat(law_short_name(text_or_empty(default_law)), F.lit("$0")))
 
 
 def normalize_keywords(keywords: Column, default_law: Column | None = None) -> Column:
     def one(k: Column) -> Column:
-        cleaned = replace_all(clean_text(k), fv.ENTITY_ALIASES)
-        return F.when(cleaned.rlike(fv.ARTICLE_PATTERN), normalize_article_name(cleaned, default_law)).otherwise(cleaned)
+        return bound(
+            replace_all(clean_text(k), fv.ENTITY_ALIASES),
+            lambda cleaned: F.when(cleaned.rlike(fv.ARTICLE_PATTERN), normalize_article_name(cleaned, default_law)).otherwise(cleaned),
+        )
 
     filled = F.coalesce(keywords, F.array().cast("array<string>"))
     return F.array_distinct(F.filter(F.transform(filled, one), lambda k: k != ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import fixed_values as fv
 from quillgraph.functions import text as tx
+from quillgraph.session import compute_once
 
 
 def _aliased(name: str) -> Column:
@@ -19,8 +20,8 @@ def _each(name: str, fn) -> Column:
 
 
 def clean_laws(rows: DataFrame) -> DataFrame:
-    law = tx.clean_text(F.col("law_name"))
-    return rows.select(
+    law = F.col("__law")
+    return compute_once(rows, __law=tx.clean_text(F.col("law_name"))).select(
         tx.clean_text(F.col("doc_id")).alias("doc_id"),
         law.alias("law_name"),
         tx.normalize_article_name(tx.clean_text(F.col("article_no")), law).alias("article_no"),

@@ -149,3 +149,14 @@ def test_noise_lines_start_as_listed(spark):
     assert {r["t"]: r["n"] for r in frame.select("t", tx.noise_line(F.col("t")).alias("n")).collect()} == lines
     patterns = [p.lstrip("^").removeprefix("（?") for p in fv.PAGE_LINE_PATTERNS + fv.HEADER_LINE_PATTERNS]
     assert {p[0] for p in patterns} <= set(fv.NOISE_LINE_STARTS)
+
+
+def test_law_name_is_cleaned_once(spark):
+    """Articles, texts and keywords use the cleaned law name, and say what they said before."""
+    row = ("d", "中华人民共和国刑法 ", "第五条", "总则", "", "刑法第二条和第三条，《中华人民共和国公司法》第九条", ["第七条", " 民法典第八条", "房东"])
+    rows = spark.createDataFrame([row], "doc_id string, law_name string, article_no string, chapter string, effective_date string, text string, keywords array<string>")
+    made = knowledge_base.clean_laws(rows)
+    got = made.first()
+    assert (got["article_no"], got["text"], got["keywords"]) == ("刑法第五条", "刑法第二条和刑法第三条，公司法第九条", ["刑法第七条", "民法典第八条", "出租人"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(law_name#") == 1
