@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.arrow import map_slices
 from quillgraph.llm.tokens import segment_ids
-from quillgraph.session import cut_lineage
+from quillgraph.session import arrow_rows, cut_lineage
 
 CAPACITY = 2048
 END_ID = 0
+#: Texts that Python is handed at once.
+BATCH_ROWS = 512
 
 PIECE_SCHEMA = "piece int, start bigint, length bigint, ids_crc32 bigint, block int, rank bigint"
 
@@ -137,7 +139,8 @@ def pack(
     per block and length and made global by adding the counts of the blocks
     before, so that a length shared by a third of all pieces is no hot group.
     """
-    pieces = cut_lineage(cut_pieces(documents, tokenizer, doc_id, text, capacity))
+    with arrow_rows(documents.sparkSession, BATCH_ROWS):
+        pieces = cut_lineage(cut_pieces(documents, tokenizer, doc_id, text, capacity))
     per_block = pieces.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

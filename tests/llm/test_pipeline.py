@@ -59,3 +59,22 @@ def test_repeated_and_null_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 3, 5, 5]
     assert corpus_pipeline.identify_language(spark, docs, SF).count() == 5
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_python_is_handed_few_texts_at_once(spark, monkeypatch):
+    """The judging stages and packing bound the rows of a batch, whoever runs their result; the setting is put back."""
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def noted(module):
+        inner = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, *more: (seen.append(int(spark.conf.get(name))), inner(df, *more))[1])
+
+    noted(corpus_pipeline)
+    noted(corpus_pipeline.bin_slack)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_toxic, corpus_pipeline.pack_sequences):
+        made = stage(spark, docs, SF)
+        if stage is not corpus_pipeline.pack_sequences:
+            assert "MapInArrow" not in made._jdf.queryExecution().logical().toString()
+    assert seen and max(seen) <= 512 and spark.conf.get(name) == before
