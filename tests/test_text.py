@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,23 @@ def test_law_name_is_cleaned_once(spark):
     assert (got["article_no"], got["text"], got["keywords"]) == ("刑法第五条", "刑法第二条和刑法第三条，公司法第九条", ["刑法第七条", "民法典第八条", "出租人"])
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("coalesce(law_name#") == 1
+
+
+def test_windows_of_a_long_text_cost_like_those_of_short_ones(spark):
+    """A window is not counted off from the front of the whole text; every window against plain slices."""
+    text = "".join(f" word{i % 97} é盗{i}\n" for i in range(1000))
+    for size, overlap in ((400, 80), (7, 3), (5, 0)):
+        expected = [(s, min(s + size, len(text)), text[s : s + size].strip()) for s in range(0, len(text), size - overlap)]
+        rows = spark.createDataFrame([(text,), ("",), (None,), ("a",)], "t string").select(chunking.window_spans(F.col("t"), size, overlap).alias("w")).collect()
+        assert [tuple(w) for w in rows[0]["w"]] == [w for w in expected if w[2]]
+        assert rows[1]["w"] == [] and rows[2]["w"] == [] and [tuple(w) for w in rows[3]["w"]] == [(0, 1, "a")]
+    def seconds(times, each):
+        rows = spark.range(each).coalesce(1).select(F.repeat(F.concat(F.lit("some words, "), F.col("id").cast("string")), times).alias("t"))
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            rows.select(F.sum(F.size(chunking.window_spans(F.col("t"))))).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(120_000, 1) < 8 * seconds(6_000, 20)
